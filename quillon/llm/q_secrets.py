@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.common import table
 from quillon.llm.secrets import PATTERNS, default_model, listed, with_spans
 
 
+def _number(kind: str) -> Column:
+    return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = with_spans(docs, default_model(docs)).select("doc_id", "base_spans", "secret_spans")
-    number = {f"n_{k}": F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("long") for k in PATTERNS}
+    number = {f"n_{k}": _number(k) for k in PATTERNS}
     return found.select(
         "doc_id", *[v.alias(k) for k, v in number.items()], F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("secret_spans")).alias("spans")
     )
