@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold one or more queries each.
-MODULES = ("q_huffman", "q_packing", "q_quality", "q_secrets", "q_sharding")
+MODULES = ("q_huffman", "q_lines", "q_packing", "q_quality", "q_secrets", "q_sharding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
