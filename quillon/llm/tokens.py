@@ -7,10 +7,10 @@ nearly all the work, and only words not in it reach the tokenizer library.
 
 from __future__ import annotations
 
+import re
+import struct
 from collections.abc import Iterator
 
-import numpy as np
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -18,42 +18,75 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Words whose ids the BPE model gives alone: letters that one code point holds
+#: in every normal form and that have one lower-case letter, then stops.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+
+
+class _Known(dict):
+    """Ids of words; one that is missing is worked out, and kept if short."""
+
+    def __init__(self, owner: WordTokenizer) -> None:
+        super().__init__({"": b""})
+        self.owner = owner
+
+    def __missing__(self, word: str) -> bytes:
+        owner = self.owner
+        ids = owner._word(word)
+        if len(word) <= owner.longest:
+            if len(self) > owner.most_words:
+                self.clear()
+                self[""] = b""
+            self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """``ids``: little-endian unsigned 32-bit ids of texts, as bytes.
 
-    Valid for tokenizers that treat the space and the line feed as white space
-    that separates words and leaves no trace in the ids.  ``most_words`` bounds
-    the table; a full table is emptied.  Words over ``longest`` characters are
-    not kept."""
+    Valid for tokenizers that lower-case, treat the space and the line feed as
+    white space that separates words and leaves no trace in the ids, and part
+    letters from stops.  ``most_words`` bounds each of two tables, of words and
+    of their letters; a full table is emptied.  Words over ``longest``
+    characters are not kept."""
 
     def __init__(self, path: str, most_words: int = 300_000, longest: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.model = self.tokenizer.model
+        self.known = _Known(self)
+        self.letters: dict[str, bytes] = {}
         self.most_words, self.longest = most_words, longest
+        # Bytes as the characters that stand for them in the vocabulary.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.as_text = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.most_words:
-            known.clear()
-            known[""] = b""
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        own = {}
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            b = np.array(e.ids, dtype="<u4").tobytes()
-            if len(w) <= self.longest:
-                known[w] = b
-            else:
-                own[w] = b
-        return b"".join([known[w] if w in known else own[w] for w in words])
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _word(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain is None:
+            return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        letters, stops = plain.groups()
+        letters = letters.lower()
+        ids = self.letters.get(letters)
+        if ids is None:
+            if len(self.letters) > self.most_words:
+                self.letters.clear()
+            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.as_text)
+            ids = self._packed([t.id for t in self.model.tokenize(shown)])
+            if len(letters) <= self.longest:
+                self.letters[letters] = ids
+        return ids + self.known[stops] if stops else ids
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
