@@ -7,7 +7,8 @@ are all that a reader needs.
 Format.  A corpus is a table of segments in ascending document order, each with
 header columns and a ``payload``:
 
-* ``file``, ``segment``: order of the segments; those of a file follow each other.
+* ``file``, ``in_file``: order of the segments; those of a file follow each other,
+  and ``in_file`` is the number of ids of its file before it.
 * ``documents``: list of (doc_id, n_tokens), in order.
 * ``bits``: length of the code stream; ``payload``: the stream, first bit highest.
 * ``checkpoints``: the bit offset of every ``STRIDE``-th id.
@@ -39,7 +40,7 @@ from quillon.llm.common import partitions, written
 LIMIT = 20
 STRIDE = 256
 SEGMENT_IDS = 1 << 19
-SEGMENT_SCHEMA = "file int, segment long, documents array<struct<doc_id:bigint,n_tokens:bigint>>, n_ids long, bits long, payload binary, checkpoints array<bigint>"
+SEGMENT_SCHEMA = "file int, in_file long, documents array<struct<doc_id:bigint,n_tokens:bigint>>, n_ids long, bits long, payload binary, checkpoints array<bigint>"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -132,14 +133,19 @@ def decode(payload: bytes, n_ids: int, checkpoints: np.ndarray, table: tuple[np.
     return out.reshape(-1)[:n_ids]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit, with the end id)."""
+def id_type(vocabulary: int) -> str:
+    """How ids are held between passes: two bytes do for most vocabularies."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int, held_as: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_tokens and ids (held as ``held_as``, with the end id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, end = tokens.tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = [tokenizer.ids(t.as_py()) + end for t in batch.column(1)]
-            columns = list(zip(batch.column(0).to_pylist(), [len(i) // 4 for i in ids], ids))
+            ids = [np.frombuffer(tokenizer.ids(t.as_py()) + end, "<u4").astype(held_as).tobytes() for t in batch.column(1)]
+            columns = list(zip(batch.column(0).to_pylist(), [len(i) // int(held_as[-1]) for i in ids], ids))
             for part in tokens.chunks(columns, [c[1] for c in columns], 1 << 20):
                 a, b, c = zip(*part)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["doc_id", "n_tokens", "ids"])
@@ -147,14 +153,14 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def id_counts(coded: DataFrame) -> DataFrame:
+def id_counts(coded: DataFrame, held_as: str) -> DataFrame:
     """How often each id occurs: id, n.  A task sends a row for each id at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                one = np.bincount(np.frombuffer(ids.as_py(), "<u4"))
+                one = np.bincount(np.frombuffer(ids.as_py(), held_as))
                 if len(one) > len(total):
                     total, one = one, total
                 total[: len(one)] += one
@@ -168,12 +174,12 @@ def global_lengths(coded: DataFrame, vocabulary: int) -> np.ndarray:
     """Code lengths from counts over the whole corpus; the counts that reach
     the driver are one number for each id of the vocabulary."""
     counts = np.zeros(vocabulary, np.int64)
-    for r in id_counts(coded).collect():
+    for r in id_counts(coded, id_type(vocabulary)).collect():
         counts[r.id] = r.n
     return code_lengths(counts)
 
 
-def write_segments(coded: DataFrame, lengths: np.ndarray) -> DataFrame:
+def write_segments(coded: DataFrame, lengths: np.ndarray, held_as: str) -> DataFrame:
     """The corpus in ascending doc_id order as segments, written and reread.
 
     Ranges of doc_id are one file each.  Documents of one id follow by their ids."""
@@ -182,12 +188,12 @@ def write_segments(coded: DataFrame, lengths: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.frombuffer(packed, np.uint8)
         codes = canonical(own)
-        number, docs, parts, held = 0, [], [], 0
+        before, docs, parts, held = 0, [], [], 0
 
         def segment(file: int) -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(parts), "<u4")
+            ids = np.frombuffer(b"".join(parts), held_as)
             payload, bits, at = encode(ids, codes, own)
-            row = {"file": file, "segment": number, "documents": [{"doc_id": d, "n_tokens": n} for d, n in docs], "n_ids": len(ids), "bits": bits, "payload": payload, "checkpoints": at}
+            row = {"file": file, "in_file": before, "documents": [{"doc_id": d, "n_tokens": n} for d, n in docs], "n_ids": len(ids), "bits": bits, "payload": payload, "checkpoints": at}
             types = [pa.int32(), pa.int64(), pa.list_(pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64())])), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), types)], names=list(row))
 
@@ -200,7 +206,7 @@ def write_segments(coded: DataFrame, lengths: np.ndarray) -> DataFrame:
                 held += docs[-1][1]
                 if held >= SEGMENT_IDS:
                     yield segment(file)
-                    number, docs, parts, held = number + 1, [], [], 0
+                    before, docs, parts, held = before + held, [], [], 0
         if docs:
             yield segment(file)
 
@@ -227,13 +233,11 @@ def read_segments(segments: DataFrame, lengths: np.ndarray) -> DataFrame:
                     types = [pa.int64()] * 3 + [pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), types)], names=["doc_id", "start", "n_tokens", "ids"])
 
-    # Sums over files first: one row for each file, then those before it.
+    # One row for each file, and there is a file for each partition of the write.
     files = segments.groupBy("file").agg(F.sum("n_ids").alias("n"))
     files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_start"))
-    order = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    heads = segments.select("file", "segment", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("in_file"))
-    starts = heads.join(F.broadcast(files), "file").select("file", "segment", (F.col("file_start") + F.col("in_file")).alias("before"))
-    return segments.join(starts, ["file", "segment"]).select("before", "documents", "n_ids", "payload", "checkpoints").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    placed = segments.join(F.broadcast(files), "file").withColumn("before", F.col("file_start") + F.col("in_file"))
+    return placed.select("before", "documents", "n_ids", "payload", "checkpoints").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def roundtrip(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> tuple[DataFrame, np.ndarray, DataFrame]:
@@ -241,8 +245,9 @@ def roundtrip(docs: DataFrame, path: str | None = None, end_id: int = 2, id_col:
     from tokenizers import Tokenizer
 
     path = path or tokens.default_path()
-    vocabulary = vocabulary or Tokenizer.from_file(path).get_vocab_size()
-    coded = written(tokenize(docs, path, end_id, id_col, text), "ids")
-    lengths = global_lengths(coded, max(vocabulary, end_id + 1))
-    segments = write_segments(coded, lengths)
+    vocabulary = max(vocabulary or Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+    held_as = id_type(vocabulary)
+    coded = written(tokenize(docs, path, end_id, held_as, id_col, text), "ids")
+    lengths = global_lengths(coded, vocabulary)
+    segments = write_segments(coded, lengths, held_as)
     return segments, lengths, read_segments(segments, lengths)
