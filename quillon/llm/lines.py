@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import key, words, written
 
 SLOTS = 1 << 17
+#: Of the slots, the share that words of a class may take at most.
+FILL = 8
 HOT = 256
 LEADERS = 16
 
@@ -63,19 +65,25 @@ def _tokens(line: Column) -> Column:
     return F.array_distinct(words(F.lower(line)))
 
 
+def _hashes(line: Column) -> Column:
+    return F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
+
+
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, line_no and line of every line of texts that are not null."""
     return docs.select(key(id_col).alias("id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
 
 
 def rarity_table(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> bytes:
-    """A byte for each slot: 0, or class (1 to 7, rising with frequency) and
-    four bits of the hash of the most frequent word of that slot."""
-    counts = docs.select(F.explode(words(F.lower(F.col(text)))).alias("w")).groupBy(F.xxhash64("w").alias("h")).count().where("count > 1")
+    """A byte for each slot: 0, or the class (1 to 7, rising with frequency) of
+    the most frequent word of that slot.  A rare word that shares a slot with a
+    frequent one passes for it, which costs candidates and no matches."""
+    hashes = F.transform(words(F.lower(F.col(text))), lambda w: F.xxhash64(w))
+    counts = docs.select(F.explode(hashes).alias("h")).groupBy("h").count().where("count > 1")
     counts = written(counts.select("h", F.floor(F.log2("count")).cast("int").alias("level")), "frequencies")
     # At most 64 levels.  The floor is the level from which on words fit.
     levels = sorted(((r.level, r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True)
-    floor, room = 64, slots // 2
+    floor, room = 64, slots // FILL
     for level, n in levels:
         room -= n
         if room < 0:
@@ -84,8 +92,8 @@ def rarity_table(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> byt
     top = max((x for x, _ in levels), default=0)
     width = max(1, -(-(top - floor + 1) // 7))
     h = F.col("h")
-    value = ((F.col("level") - floor) / width).cast("int") * 16 + 16 + F.shiftrightunsigned(h, 60).cast("int")
-    frequent = counts.where(F.col("level") >= floor).groupBy(F.pmod(h, F.lit(slots)).cast("int").alias("slot")).agg(F.max(value).alias("v"))
+    value = ((F.col("level") - floor) / width).cast("int") + 1
+    frequent = counts.where(F.col("level") >= floor).groupBy(h.bitwiseAND(slots - 1).cast("int").alias("slot")).agg(F.max(value).alias("v"))
     table = bytearray(slots)
     for r in frequent.collect():
         table[r.slot] = r.v
@@ -95,36 +103,39 @@ def rarity_table(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> byt
 def _rank(h: Column, table: bytes) -> Column:
     """An int that rises with frequency, then by hash: words that share one
     count as the same word in prefixes, which only adds candidates."""
-    slot = F.pmod(h, F.lit(len(table))).cast("int")
-    v = F.ascii(F.substring(F.lit(table), slot + 1, F.lit(1)).cast("string"))
-    level = F.when((v > 0) & (v % 16 == F.shiftrightunsigned(h, 60)), F.shiftright(v, 4)).otherwise(0)
-    return (level * (1 << 28) + F.shiftright(h, 20).bitwiseAND((1 << 28) - 1)).cast("int")
+    slot = h.bitwiseAND(len(table) - 1).cast("int")
+    level = F.ascii(F.substring(F.lit(table), slot + 1, F.lit(1)).cast("string"))
+    return level * (1 << 28) + F.shiftright(h, 20).bitwiseAND((1 << 28) - 1).cast("int")
 
 
 def line_sets(docs: DataFrame, table: bytes, similar: Similar, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, line_no, k1, k2 (the set's digest), n and prefix of eligible lines."""
-    hashes = F.array_sort(F.transform(_tokens(F.col("line")), lambda w: F.xxhash64(w)))
+    """id, line_no, k1, k2 (the set's digest), n, bits and prefix of eligible lines."""
+    hashes = F.sort_array(_hashes(F.col("line")))
     rows = lines_of(docs, id_col, text).select("id", "line_no", hashes.alias("h")).withColumn("n", F.size("h")).where(F.col("n") >= similar.min_tokens)
-    ranks = F.array_sort(F.transform("h", lambda h: _rank(h, table)))
-    return rows.select("id", "line_no", F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), "n", F.slice(ranks, 1, similar.prefix(F.col("n"))).alias("prefix"))
+    ranks = F.sort_array(F.transform("h", lambda h: _rank(h, table)))
+    bits = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
+    return rows.select("id", "line_no", bits.alias("bits"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), "n", F.slice(ranks, 1, similar.prefix(F.col("n"))).alias("prefix"))
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select(F.struct("id", "line_no").alias("at"), "n", F.posexplode("prefix").alias("pos", "word"))
+    return sets.select(F.struct("id", "line_no").alias("at"), "n", "bits", F.posexplode("prefix").alias("pos", "word"))
 
 
 def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar) -> DataFrame:
     """Pairs (a, b), b the earlier, that the filters let through."""
-    a = later.select(F.col("at").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), "word")
-    b = earlier.select(F.col("at").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("word").alias("word_b"))
+    a = later.select(F.col("at").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("pos").alias("pos_a"), "word")
+    b = earlier.select(F.col("at").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("pos").alias("pos_b"), F.col("word").alias("word_b"))
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    least = similar.overlap(F.col("n_a"), F.col("n_b"))
     fits = (
         (F.col("word") == F.col("word_b"))
         & (F.col("b") < F.col("a"))
         & (F.col("n_a") * similar.num <= F.col("n_b") * similar.den)
         & (F.col("n_b") * similar.num <= F.col("n_a") * similar.den)
         # True of similar sets at the first word that they share.
-        & (most >= similar.overlap(F.col("n_a"), F.col("n_b")))
+        & (most >= least)
+        # Each bit that differs is a word in one set alone.
+        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
     )
     return a.join(b, fits).select("a", "b").distinct()
 
@@ -150,16 +161,16 @@ def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
     """id and line_no of eligible lines that stay; an id is as ``key`` gives it."""
     table = rarity_table(docs, text)
     lines = line_sets(docs, table, similar, id_col, text)
-    first = lines.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "prefix"), F.struct("id", "line_no")).alias("s"), F.min(F.struct("id", "line_no")).alias("at"))
+    first = lines.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "bits", "prefix"), F.struct("id", "line_no")).alias("s"), F.min(F.struct("id", "line_no")).alias("at"))
     sets = written(first.select("at.*", "s.*", "k1"), "sets")
     postings = _postings(sets)
     hot = written(postings.groupBy("word").count().where(F.col("count") > HOT).select("word"), "hot-words")
     earlier = None
     if not hot.isEmpty():
         near = written(postings.join(hot, "word", "left_semi"), "hot-postings")
-        leader = near.groupBy("word", F.pmod(F.xxhash64("at"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("at", "n", "pos")).alias("l")).select("word", "l.*")
+        leader = near.groupBy("word", F.pmod(F.xxhash64("at"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("at", "n", "bits", "pos")).alias("l")).select("word", "l.*")
         earlier = written(_verified(docs, written(_candidates(near, leader, similar), "leader-pairs"), similar, id_col, text), "decided")
-        looking = _postings(sets.join(earlier.select("a.*"), ["id", "line_no"], "left_anti").select("id", "line_no", "n", "prefix"))
+        looking = _postings(sets.join(earlier.select("a.*"), ["id", "line_no"], "left_anti").select("id", "line_no", "n", "bits", "prefix"))
     else:
         looking = postings
     pairs = written(_candidates(looking, postings, similar), "pairs")
