@@ -19,8 +19,9 @@ def default_path() -> str:
 
 
 #: Words whose ids the BPE model gives alone: letters that one code point holds
-#: in every normal form and that have one lower-case letter, then stops.
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,]*)")
+#: in every normal form and that have one lower-case letter, then marks.  Marks
+#: leave out the apostrophe, which may go with letters, and those of special tokens.
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?-@\\[-`{}~]*)")
 
 
 class _Known(dict):
@@ -46,11 +47,11 @@ class WordTokenizer:
 
     Valid for tokenizers that lower-case, treat the space and the line feed as
     white space that separates words and leaves no trace in the ids, and part
-    letters from stops.  ``most_words`` bounds each of two tables, of words and
+    letters from marks.  ``most_words`` bounds each of two tables, of words and
     of their letters; a full table is emptied.  Words over ``longest``
     characters are not kept."""
 
-    def __init__(self, path: str, most_words: int = 300_000, longest: int = 64) -> None:
+    def __init__(self, path: str, most_words: int = 500_000, longest: int = 64) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,7 +73,7 @@ class WordTokenizer:
         plain = PLAIN.fullmatch(word)
         if plain is None:
             return self._packed(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        letters, stops = plain.groups()
+        letters, marks = plain.groups()
         letters = letters.lower()
         ids = self.letters.get(letters)
         if ids is None:
@@ -82,7 +83,7 @@ class WordTokenizer:
             ids = self._packed([t.id for t in self.model.tokenize(shown)])
             if len(letters) <= self.longest:
                 self.letters[letters] = ids
-        return ids + self.known[stops] if stops else ids
+        return ids + self.known[marks] if marks else ids
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:

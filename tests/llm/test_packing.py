@@ -38,7 +38,7 @@ def test_near_equal():
 def test_words_give_the_ids_of_texts():
     whole = Tokenizer.from_file(tokens.default_path())
     by_word = tokens.WordTokenizer(tokens.default_path(), most_words=5)
-    for t in ["", "a  b\n\tc", "it's I'LL we've", "é é ́x", "<|endoftext|> y<|endoftext|>", "ΟΔΟΣ İ̇ ẞ ﬁ①", "x\x85y\x1c z　w", "q" * 300 + " " + "q" * 300]:
+    for t in ["", "a  b\n\tc", "it's I'LL we've", "é é ́x", "<|endoftext|> y<|endoftext|>", "ΟΔΟΣ İ̇ ẞ ﬁ①", "x*** ÉÀß&&& (z) don't. rock'll! e<|endoftext|> f<. g|> h\"\\]", "x\x85y\x1c z　w", "q" * 300 + " " + "q" * 300]:
         assert by_word.ids(t) == np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
