@@ -159,11 +159,10 @@ def id_counts(coded: DataFrame, held_as: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                one = np.bincount(np.frombuffer(ids.as_py(), held_as))
-                if len(one) > len(total):
-                    total, one = one, total
-                total[: len(one)] += one
+            one = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), held_as))
+            if len(one) > len(total):
+                total, one = one, total
+            total[: len(one)] += one
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
