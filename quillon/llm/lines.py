@@ -11,14 +11,14 @@ orders its words by class, then hash, and keeps the prefix without which no
 line that is similar enough can do.  (3) Equal sets become one, at the place of
 their first line; all others of them go.  (4) Sets that share a prefix word are
 candidates if sizes allow it (length filter) and if enough words are left after
-the shared one (positional filter).  (5) Candidates are verified on the words.
+the shared one (positional filter).  (5) Candidates are verified on all words,
+by their 64-bit hashes.
 
-Hot words.  Thousands of near-equal lines share their prefix, and all pairs
-among them must not be made.  Words with a posting of over ``HOT`` sets are
-therefore first compared with ``LEADERS`` sets of that posting only, the
-earliest of each of as many hash classes; lines that match are decided and no
-longer look for a match.  The rest then look at all earlier sets, so no match
-is lost.
+Near-equal lines by the thousand share their prefix, and all pairs among them
+must not be made.  The sets of a posting of over ``LARGE`` are therefore first
+compared with ``LEADERS`` sets of that posting only, the earliest of each of as
+many hash classes; lines that match are decided and no longer look for a match.
+The rest then look at all earlier sets, so no match is lost.
 
 Everything is DataFrame functions.  The class table (``SLOTS`` bytes) is what
 reaches the driver.
@@ -30,6 +30,7 @@ for one of them.  An empty table gives no rows.  Other columns are left alone.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -40,8 +41,10 @@ from quillon.llm.common import key, words, written
 SLOTS = 1 << 17
 #: Of the slots, the share that words of a class may take at most.
 FILL = 8
-HOT = 256
-LEADERS = 16
+LARGE = 8
+LEADERS = 4
+#: 64-bit words of the bitmaps by which pairs are told apart.
+WIDE = 8
 
 
 @dataclass(frozen=True)
@@ -65,10 +68,6 @@ def _tokens(line: Column) -> Column:
     return F.array_distinct(words(F.lower(line)))
 
 
-def _hashes(line: Column) -> Column:
-    return F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
-
-
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, line_no and line of every line of texts that are not null."""
     return docs.select(key(id_col).alias("id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
@@ -100,21 +99,28 @@ def rarity_table(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> byt
     return bytes(table)
 
 
-def _rank(h: Column, table: bytes) -> Column:
-    """An int that rises with frequency, then by hash: words that share one
-    count as the same word in prefixes, which only adds candidates."""
-    slot = h.bitwiseAND(len(table) - 1).cast("int")
+def _rank(w: Column, table: bytes) -> Column:
+    """A long that rises with the class of frequency, then by hash."""
+    slot = F.xxhash64(w).bitwiseAND(len(table) - 1).cast("int")
     level = F.ascii(F.substring(F.lit(table), slot + 1, F.lit(1)).cast("string"))
-    return level * (1 << 28) + F.shiftright(h, 20).bitwiseAND((1 << 28) - 1).cast("int")
+    return level * (1 << 60) + F.shiftrightunsigned(F.xxhash64(w), 4)
+
+
+def _bits(hashes: Column) -> Column:
+    """A bitmap of 64 bits of which each hash sets one."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))))
+
+
+def _of_slice(j: int) -> Callable[[Column], Column]:
+    return lambda x: F.shiftright(x, 6).bitwiseAND(WIDE - 1) == j
 
 
 def line_sets(docs: DataFrame, table: bytes, similar: Similar, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, line_no, k1, k2 (the set's digest), n, bits and prefix of eligible lines."""
-    hashes = F.sort_array(_hashes(F.col("line")))
-    rows = lines_of(docs, id_col, text).select("id", "line_no", hashes.alias("h")).withColumn("n", F.size("h")).where(F.col("n") >= similar.min_tokens)
-    ranks = F.sort_array(F.transform("h", lambda h: _rank(h, table)))
-    bits = F.aggregate("h", F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))))
-    return rows.select("id", "line_no", bits.alias("bits"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(1), "h").alias("k2"), "n", F.slice(ranks, 1, similar.prefix(F.col("n"))).alias("prefix"))
+    ranks = F.sort_array(F.array_distinct(F.transform(words(F.lower(F.col("line"))), lambda w: _rank(w, table))))
+    rows = lines_of(docs, id_col, text).select("id", "line_no", ranks.alias("r")).withColumn("n", F.size("r")).where(F.col("n") >= similar.min_tokens)
+    return rows.select("id", "line_no", F.xxhash64("r").alias("k1"), F.xxhash64(F.lit(1), "r").alias("k2"), "n", _bits(F.col("r")).alias("bits"), F.slice("r", 1, similar.prefix(F.col("n"))).alias("prefix"))
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -145,10 +151,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, similar: Similar, id_col: str,
     at = written(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), "places")
     needed = at.groupBy(F.col("at.id").alias("need")).agg(F.collect_set("at.line_no").alias("numbers"))
     texts = docs.select(key(id_col).alias("id"), F.split(F.col(text), "\n", -1).alias("lines")).join(needed, F.col("id") == F.col("need"))
-    cut = texts.select("id", F.explode("numbers").alias("line_no"), "lines").select("id", "line_no", _tokens(F.get("lines", F.col("line_no"))).alias("w"))
+    cut = texts.select("id", F.explode("numbers").alias("line_no"), "lines").select("id", "line_no", F.array_distinct(F.transform(words(F.lower(F.get("lines", F.col("line_no")))), lambda w: F.xxhash64(w))).alias("w"))
     # Rows that share an id and line number: one of their lines was eligible
     # as a, one as b; any of them counts.
     sets = written(cut.where(F.size("w") >= similar.min_tokens).select(F.struct("id", "line_no").alias("at"), "w"), "words")
+    # Wider bitmaps first: they are shorter than sets and tell most pairs apart.
+    bits = F.array(*[_bits(F.filter("w", _of_slice(j))) for j in range(WIDE)])
+    maps = sets.select("at", F.size("w").alias("n"), bits.alias("bits"))
+    a, b = (maps.select(F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    near = F.col("n_a") + F.col("n_b") - 2 * similar.overlap(F.col("n_a"), F.col("n_b"))
+    pairs = pairs.join(a, F.col("a") == F.col("at_a")).join(b, F.col("b") == F.col("at_b")).where(differ <= near).select("a", "b")
     a = sets.select(F.col("at").alias("at_a"), F.col("w").alias("w_a"))
     b = sets.select(F.col("at").alias("at_b"), F.col("w").alias("w_b"))
     both = F.size(F.array_intersect("w_a", "w_b"))
@@ -164,7 +177,7 @@ def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
     first = lines.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "bits", "prefix"), F.struct("id", "line_no")).alias("s"), F.min(F.struct("id", "line_no")).alias("at"))
     sets = written(first.select("at.*", "s.*", "k1"), "sets")
     postings = _postings(sets)
-    hot = written(postings.groupBy("word").count().where(F.col("count") > HOT).select("word"), "hot-words")
+    hot = written(postings.groupBy("word").count().where(F.col("count") > LARGE).select("word"), "hot-words")
     earlier = None
     if not hot.isEmpty():
         near = written(postings.join(hot, "word", "left_semi"), "hot-postings")

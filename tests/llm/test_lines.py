@@ -50,7 +50,7 @@ def test_against_all_pairs(spark):
 
 
 def test_hot_words(spark, monkeypatch):
-    monkeypatch.setattr(lines, "HOT", 8)
+    monkeypatch.setattr(lines, "LARGE", 3)
     monkeypatch.setattr(lines, "LEADERS", 2)
     monkeypatch.setattr(lines, "SLOTS", 64)
     rng = random.Random(9)
