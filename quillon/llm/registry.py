@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that hold one or more queries each.
-MODULES = ("q_huffman", "q_lines", "q_packing", "q_quality", "q_revisits", "q_secrets", "q_sharding", "q_sigtree", "q_topk")
+MODULES = ("q_gumbel", "q_huffman", "q_lines", "q_packing", "q_quality", "q_revisits", "q_secrets", "q_sharding", "q_sigtree", "q_topk")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
