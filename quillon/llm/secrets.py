@@ -115,7 +115,10 @@ def ordinary_samples(docs: DataFrame, most: int = 2000, id_col: str = "doc_id",
     hash lowest (the bound on this sample), and two or three of them joined.
 
     Words with a digit are left out, as some of them are secrets."""
-    few = docs.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(most)
+    h = F.xxhash64(F.col(id_col))
+    # Only hashes of ids are ranked; then the texts at or under the last one.
+    last = docs.where(F.col(text).isNotNull()).select(h.alias("h")).orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    few = docs.where(F.col(text).isNotNull() & (h <= F.lit(last).cast("long"))).select(F.col(text).alias("t")).limit(most)
     words = F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,40}(?![A-Za-z0-9+/_=-])"), F.lit(0))
     w = few.select(words.alias("w"))
     joined = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.when(i % 3 == 0, F.concat_ws("_", x, F.get("w", i + 1), F.get("w", i + 2))).when(i % 3 == 1, F.concat(x, F.initcap(F.get("w", i + 1)), F.initcap(F.get("w", i + 2)))).otherwise(x))
