@@ -64,44 +64,57 @@ def _texts(batch: pa.RecordBatch) -> Iterator[memoryview | None]:
         yield memoryview(b) if b is not None else None
 
 
-def frequency_classes(docs: DataFrame) -> bytes:
-    """A byte for each cell: 0 for cells near the mean, else how many times the
-    mean doubles into its count.  Only these CELLS bytes reach the driver."""
+def surveyed(docs: DataFrame, width: int) -> DataFrame:
+    """One pass: a row (id, n, set) for each document, and rows (chunk, g,
+    counts) with each task's counts of shingles by cell, at most 255."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        total, held = np.zeros(CELLS, np.uint32), []
-        size = 0
+        total, held, size = np.zeros(CELLS, np.uint32), [], 0
         shift = np.uint64(64 - (CELLS.bit_length() - 1))
         for batch in batches:
+            codes, sizes = [], []
             for t in _texts(batch):
-                held.append((shingle_set(t) >> shift).astype(np.int64))
-                size += len(held[-1])
+                s = shingle_set(t, width)
+                codes.append(_digest(s))
+                sizes.append(len(s))
+                held.append((s >> shift).astype(np.int64))
+                size += len(s)
                 if size > 1 << 21:
                     total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
                     held, size = [], 0
+            n = len(codes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "set", "chunk", "g", "counts"])
         if held:
             total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
-        # Saturated: a count of 255 in one task is frequent in any case.
+        # A count of 255 in one task is frequent in any case.
         small = np.minimum(total, 255).astype(np.uint8)
         group = TaskContext.get().partitionId() // 256
         for i in range(0, CELLS, CHUNK):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([group], pa.int32()), pa.array([small[i : i + CHUNK].astype("<u4").tobytes()], pa.binary())], names=["chunk", "g", "n"])
+            one = [pa.nulls(1, pa.int64())] * 3 + [pa.array([i], pa.int32()), pa.array([group], pa.int32()), pa.array([small[i : i + CHUNK].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, names=["id", "n", "set", "chunk", "g", "counts"])
+
+    return docs.mapInArrow(run, "id long, n long, set long, chunk int, g int, counts binary")
+
+
+def frequency_classes(survey: DataFrame) -> bytes:
+    """A byte for each cell: 0 for cells near the mean, else how many times the
+    mean doubles into its count.  Only these CELLS bytes reach the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, chunk = np.zeros(min(CHUNK, CELLS), np.uint64), None
         for batch in batches:
-            for c, n in zip(batch.column(0), batch.column(2)):
-                chunk = c.as_py()
-                total += np.frombuffer(n.as_py(), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "g", "n"])
+            for c, x in zip(batch.column(0), batch.column(2)):
+                chunk, raw = c.as_py(), x.as_py()
+                total += np.frombuffer(raw, np.uint8 if len(raw) == len(total) else "<u4")
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "g", "counts"])
 
-    schema = "chunk int, g int, n binary"
-    parts = docs.mapInArrow(count, schema).groupBy("chunk", "g").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
+    schema = "chunk int, g int, counts binary"
+    parts = survey.where("chunk IS NOT NULL").select("chunk", "g", "counts").groupBy("chunk", "g").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     counts = np.zeros(CELLS, np.uint64)
     for r in parts.collect():
-        counts[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.n, "<u4")
+        counts[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, "<u4")
     times = counts / max(4.0, 2 * float(counts.mean()))
     return np.where(times >= 1, np.minimum(np.log2(np.maximum(times, 1)).astype(np.uint8) + 1, 60), 0).astype(np.uint8).tobytes()
 
@@ -113,64 +126,127 @@ def _digest(shingles: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+#: Digests that a task remembers, so that it posts copies once.
+REMEMBERED = 100_000
+
+
 def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int) -> DataFrame:
-    """A row (id, n, set) for each document, and rows (shingle, set, n) of prefixes."""
+    """Rows (shingle, set, n) of prefixes.  A set may come from several tasks."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell_class = np.frombuffer(held.value, np.uint8)
         shift = np.uint64(64 - (CELLS.bit_length() - 1))
+        seen: set[int] = set()
 
-        def rows(parts: list[tuple]) -> pa.RecordBatch:
-            ids, sets, sizes, prefixes = zip(*parts)
+        def rows(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+            sets, sizes, prefixes = zip(*parts)
             n = [len(p) for p in prefixes]
-            # Document rows have no shingle; entries have no id.
-            shingle = pa.concat_arrays([pa.nulls(len(parts), pa.int64()), pa.array(np.concatenate(prefixes).view(np.int64))])
-            own = pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(sum(n), pa.int64())])
-            whole = np.array(sizes, np.int64)
-            code = np.array(sets, np.int64)
-            return pa.RecordBatch.from_arrays([own, shingle, pa.array(np.concatenate([code, np.repeat(code, n)])), pa.array(np.concatenate([whole, np.repeat(whole, n)]))], names=["id", "shingle", "set", "n"])
+            columns = [np.concatenate(prefixes).view(np.int64), np.repeat(np.array(sets, np.int64), n), np.repeat(np.array(sizes, np.int64), n)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "set", "n"])
 
         parts, size = [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0), _texts(batch)):
+            for t in _texts(batch):
                 s = shingle_set(t, width)
+                code = _digest(s)
+                if not len(s) or code in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(code)
                 order = np.argsort(cell_class[(s >> shift).astype(np.int64)], kind="stable")
-                prefix = s[order[: prefix_length(len(s), num, den)]] if len(s) else s
-                parts.append((i.as_py(), _digest(s), len(s), prefix))
-                size += len(prefix) + 1
+                parts.append((code, len(s), s[order[: prefix_length(len(s), num, den)]]))
+                size += len(parts[-1][2])
                 if size > 1 << 18:
                     yield rows(parts)
                     parts, size = [], 0
         if parts:
             yield rows(parts)
 
-    return docs.mapInArrow(run, "id long, shingle long, set long, n long")
+    return docs.mapInArrow(run, "shingle long, set long, n long")
+
+
+def shared_postings(posted: DataFrame) -> DataFrame:
+    """Of postings with several sets, a row for each: shingle, set, n, and the
+    least set and its size.  Postings pass by in order, so a posting of any
+    length takes the memory of one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the last row, with the first row of its posting and whether that is out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, s, n = (batch.column(i).to_numpy() for i in range(3))
+            if last is not None:
+                h, s, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (h, s, n)))
+            new = np.concatenate([[True], np.diff(h) != 0])
+            fresh = new | np.concatenate([[True], np.diff(s) != 0])
+            first = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            low, low_n = s[first][group], n[first][group]
+            if last is not None:
+                own = group == 0
+                low, low_n = np.where(own, last[3], low), np.where(own, last[4], low_n)
+            # Rows after the least set, and the least set's row once one follows.
+            later = fresh & (s != low)
+            if last is not None:
+                later[0] = False
+            out = np.flatnonzero(later)
+            opened = np.unique(group[out])
+            if last is not None and last[5]:
+                opened = opened[opened != 0]
+            at = first[opened]
+            rows = [np.concatenate([h[at], h[out]]), np.concatenate([low[at], s[out]]), np.concatenate([low_n[at], n[out]]), np.concatenate([low[at], low[out]]), np.concatenate([low_n[at], low_n[out]])]
+            done = bool((group[out] == group[-1]).any()) or (last is not None and group[-1] == 0 and last[5])
+            last = (h[-1], s[-1], n[-1], low[-1], low_n[-1], done)
+            if len(rows[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["shingle", "set", "n", "low", "low_n"])
+
+    dealt = posted.repartition("shingle").sortWithinPartitions("shingle", "set")
+    return dealt.mapInArrow(run, "shingle long, set long, n long, low long, low_n long")
+
+
+#: Bits of the map that tells which documents' sets are asked for.
+ASKED = 1 << 24
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """set, n and shingles (bytes) of the documents ``wanted`` (id, set)."""
+    """set, n and shingles (bytes) of the documents ``wanted`` (id, set).
+
+    A bitmap of bounded size goes to the tasks, so texts need no shuffle; what
+    it lets through besides has no partner in later joins."""
+    h = F.col("set").bitwiseXOR(F.col("id")).bitwiseAND(ASKED - 1) + 1  # buckets hold numbers from 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits"))
+    bits = bytearray(ASKED // 8)
+    for r in maps.collect():
+        at = (r.bucket - 1) * (1 << 12)
+        bits[at : at + (1 << 12)] = r.bits
+    held = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little")
         for batch in batches:
             out, size = [], 0
-            for code, t in zip(batch.column(0), _texts(batch)):
+            for i, t in zip(batch.column(0), _texts(batch)):
                 s = shingle_set(t, width)
-                out.append((code.as_py(), len(s), s.tobytes()))
+                code = _digest(s)
+                if not len(s) or not asked[(code ^ i.as_py()) & (ASKED - 1)]:
+                    continue
+                out.append((code, len(s), s.tobytes()))
                 size += len(s)
-                if size > 1 << 19:
-                    yield _batch(out)
+                if size > 1 << 18:
+                    yield _set_rows(out)
                     out, size = [], 0
             if out:
-                yield _batch(out)
+                yield _set_rows(out)
+
+    return docs.mapInArrow(run, "set long, n long, shingles binary")
 
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        a, b, c = zip(*out)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["set", "n", "shingles"])
 
-    found = docs.join(wanted.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id")).select("set", "text")
-    # Rows that share an id may have other texts; of these the digest tells.
-    return found.mapInArrow(run, "set long, n long, shingles binary")
+def _set_rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    a, b, c = zip(*out)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["set", "n", "shingles"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -354,16 +430,14 @@ def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: st
     """Documents (id as ``key`` gives it, n, set) and components of linked sets
     (set, component)."""
     plain = docs.select(key(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    rows = written(entries(plain, frequency_classes(plain), num, den, width), "entries")
-    documents = rows.where("shingle IS NULL").select("id", "n", "set")
-    posted = rows.where("shingle IS NOT NULL").select("shingle", "set", "n")
-    # Least and greatest set: they differ if a shingle has several sets.
-    several = posted.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high")
-    shared = written(posted.join(several.select("shingle", "low"), "shingle").groupBy("shingle", "set").agg(F.first("n").alias("n"), F.first("low").alias("low")), "shared")
+    survey = written(surveyed(plain, width), "survey")
+    documents = survey.where("chunk IS NULL").select("id", "n", "set")
+    shared = written(shared_postings(entries(plain, frequency_classes(survey), num, den, width)), "shared")
     first = documents.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
+    fits = (F.col("n") * num <= F.col("low_n") * den) & (F.col("low_n") * num <= F.col("n") * den)
     wanted = first.join(shared.select("set").distinct(), "set", "left_semi")
-    sets = written(whole_sets(plain, wanted, width).groupBy("set").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles")), "sets")
-    stars = shared.where("set <> low").select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
+    sets = written(whole_sets(plain, wanted, width), "sets")
+    stars = shared.where((F.col("set") != F.col("low")) & fits).select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
     links = written(verified(stars, sets, num, den), "links")
     labels = components(links)
     known = shared.join(labels, "set", "left").select("shingle", "set", "n", F.coalesce("component", "set").alias("component"))

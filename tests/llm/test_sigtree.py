@@ -105,3 +105,17 @@ def test_components_of_a_chain(spark):
 
 def test_no_rows(spark):
     assert sigtree.near_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_shared_postings(spark):
+    rng = random.Random(3)
+    for size in (3, 7, 10_000):
+        rows = [(rng.randrange(12), rng.randrange(6)) for _ in range(60)] + [(50, 1), (51, 2), (51, 2), (52, 3), (52, 4)]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        df = spark.createDataFrame([(h, s, 10 * s) for h, s in rows], "shingle long, set long, n long")
+        got = sorted(tuple(r) for r in sigtree.shared_postings(df).collect())
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        by = {}
+        for h, s in rows:
+            by.setdefault(h, set()).add(s)
+        assert got == sorted((h, s, 10 * s, min(ss), 10 * min(ss)) for h, ss in by.items() if len(ss) > 1 for s in ss)
