@@ -9,7 +9,11 @@ Plan.
 2. Shingles are counted in a table of ``CELLS`` cells, which tells the very
    frequent ones; sets order their shingles by class of frequency, then hash.
 3. A similar pair shares a shingle of both prefixes (the first n - tn + 1), so
-   each set is posted under its prefix.  Postings of one set alone are dropped.
+   each set is posted under its prefix, and besides under all shingles of a fixed
+   share of the hash range.  Postings of one set alone are dropped.  Of the
+   range, m of a set's n shingles are posted and s of these have company: it can
+   share at most s + n - m with any other, and is dropped if that is under tn.
+   Passages that many documents share alone are dropped so.
 4. Each posting's least set is compared with the others: as many pairs as there
    are entries.  Links so far give components, into which groups of copies fall.
 5. Postings that still hold several components get a signature tree each: sets
@@ -47,6 +51,8 @@ CHUNK = 1 << 16
 WIDE = 8  # 64-bit words of a bitmap
 LEAF = 16
 POSTING = 2048
+#: The share of the hash range that is posted whole, in 32-bit steps.
+RANGE = int(0.36 * 2**32)
 
 
 def least_overlap(n: np.ndarray | int, m: np.ndarray | int, num: int, den: int) -> np.ndarray | int:
@@ -65,8 +71,9 @@ def _texts(batch: pa.RecordBatch) -> Iterator[memoryview | None]:
 
 
 def surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """One pass: a row (id, n, set) for each document, and rows (chunk, g,
-    counts) with each task's counts of shingles by cell, at most 255."""
+    """One pass: a row (id, n, m, set) for each document, where m counts the
+    shingles in the posted range, and rows (chunk, g, counts) with each task's
+    counts of shingles by cell, at most 255."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -74,28 +81,34 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
         total, held, size = np.zeros(CELLS, np.uint32), [], 0
         shift = np.uint64(64 - (CELLS.bit_length() - 1))
         for batch in batches:
-            codes, sizes = [], []
+            codes, sizes, ranged = [], [], []
             for t in _texts(batch):
                 s = shingle_set(t, width)
                 codes.append(_digest(s))
                 sizes.append(len(s))
+                ranged.append(_in_range(s))
                 held.append((s >> shift).astype(np.int64))
                 size += len(s)
                 if size > 1 << 21:
                     total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
                     held, size = [], 0
             n = len(codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(codes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "set", "chunk", "g", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ranged, pa.int64()), pa.array(codes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "m", "set", "chunk", "g", "counts"])
         if held:
             total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
         # A count of 255 in one task is frequent in any case.
         small = np.minimum(total, 255).astype(np.uint8)
         group = TaskContext.get().partitionId() // 256
         for i in range(0, CELLS, CHUNK):
-            one = [pa.nulls(1, pa.int64())] * 3 + [pa.array([i], pa.int32()), pa.array([group], pa.int32()), pa.array([small[i : i + CHUNK].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(one, names=["id", "n", "set", "chunk", "g", "counts"])
+            one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([group], pa.int32()), pa.array([small[i : i + CHUNK].tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(one, names=["id", "n", "m", "set", "chunk", "g", "counts"])
 
-    return docs.mapInArrow(run, "id long, n long, set long, chunk int, g int, counts binary")
+    return docs.mapInArrow(run, "id long, n long, m long, set long, chunk int, g int, counts binary")
+
+
+def _in_range(s: np.ndarray) -> int:
+    """How many of an ascending set lie in the posted range."""
+    return int(np.searchsorted(s, np.uint64(RANGE << 32)))
 
 
 def frequency_classes(survey: DataFrame) -> bytes:
@@ -156,7 +169,9 @@ def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int) ->
                     seen.clear()
                 seen.add(code)
                 order = np.argsort(cell_class[(s >> shift).astype(np.int64)], kind="stable")
-                parts.append((code, len(s), s[order[: prefix_length(len(s), num, den)]]))
+                prefix = order[: prefix_length(len(s), num, den)]
+                cut = _in_range(s)
+                parts.append((code, len(s), np.concatenate([s[:cut], s[prefix[prefix >= cut]]])))
                 size += len(parts[-1][2])
                 if size > 1 << 18:
                     yield rows(parts)
@@ -432,8 +447,16 @@ def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: st
     plain = docs.select(key(id_col).alias("id"), F.col(text).cast("string").alias("text"))
     survey = written(surveyed(plain, width), "survey")
     documents = survey.where("chunk IS NULL").select("id", "n", "set")
-    shared = written(shared_postings(entries(plain, frequency_classes(survey), num, den, width)), "shared")
-    first = documents.where("n > 0").groupBy("set").agg(F.min("id").alias("id"))
+    met = written(shared_postings(entries(plain, frequency_classes(survey), num, den, width)).select("shingle", "set", "n"), "met")
+    # What of a set's posted range has company bounds what it shares with any.
+    ranged = F.shiftrightunsigned("shingle", 32) < RANGE
+    company = met.groupBy("set").agg(F.count(F.when(ranged, 1)).alias("s"))
+    first = survey.where("chunk IS NULL AND n > 0").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m"))
+    able = company.join(first, "set").where((F.col("s") + F.col("n") - F.col("m")) * den >= F.col("n") * num).select("set")
+    shared = met.join(written(able, "able"), "set", "left_semi")
+    low = shared.groupBy("shingle").agg(F.min(F.struct("set", "n")).alias("low"), F.max("set").alias("high")).where("low.set <> high")
+    shared = written(shared.join(low.select("shingle", F.col("low.set").alias("low"), F.col("low.n").alias("low_n")), "shingle"), "shared")
+    first = first.select("set", "id")
     fits = (F.col("n") * num <= F.col("low_n") * den) & (F.col("low_n") * num <= F.col("n") * den)
     wanted = first.join(shared.select("set").distinct(), "set", "left_semi")
     sets = written(whole_sets(plain, wanted, width), "sets")
