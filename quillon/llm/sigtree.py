@@ -48,7 +48,8 @@ from quillon.llm.shingles import overlap, shingle_set
 
 CELLS = 1 << 22
 CHUNK = 1 << 16
-WIDE = 8  # 64-bit words of a bitmap
+WIDE = 8  # 64-bit words of a bitmap in trees
+FINE = 64  # and of those by which pairs are told apart
 LEAF = 16
 POSTING = 2048
 #: The share of the hash range that is posted whole, in 32-bit steps.
@@ -144,7 +145,8 @@ REMEMBERED = 100_000
 
 
 def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int) -> DataFrame:
-    """Rows (shingle, set, n) of prefixes.  A set may come from several tasks."""
+    """Rows (shingle, set, n) of prefixes and of the posted range; n is negative
+    for shingles that are not of the prefix.  A set may come from several tasks."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,10 +154,10 @@ def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int) ->
         shift = np.uint64(64 - (CELLS.bit_length() - 1))
         seen: set[int] = set()
 
-        def rows(parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        def rows(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             sets, sizes, prefixes = zip(*parts)
             n = [len(p) for p in prefixes]
-            columns = [np.concatenate(prefixes).view(np.int64), np.repeat(np.array(sets, np.int64), n), np.repeat(np.array(sizes, np.int64), n)]
+            columns = [np.concatenate(prefixes).view(np.int64), np.repeat(np.array(sets, np.int64), n), np.concatenate(sizes)]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "set", "n"])
 
         parts, size = [], 0
@@ -171,8 +173,11 @@ def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int) ->
                 order = np.argsort(cell_class[(s >> shift).astype(np.int64)], kind="stable")
                 prefix = order[: prefix_length(len(s), num, den)]
                 cut = _in_range(s)
-                parts.append((code, len(s), np.concatenate([s[:cut], s[prefix[prefix >= cut]]])))
-                size += len(parts[-1][2])
+                inside = np.zeros(len(s), bool)
+                inside[prefix] = True
+                posted = np.concatenate([np.arange(cut), prefix[prefix >= cut]])
+                parts.append((code, np.where(inside[posted], len(s), -len(s)), s[posted]))
+                size += len(posted)
                 if size > 1 << 18:
                     yield rows(parts)
                     parts, size = [], 0
@@ -273,6 +278,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
         .where((F.col("n_a") * num <= F.col("n_b") * den) & (F.col("n_b") * num <= F.col("n_a") * den))
         .select("a", "b")
     )
+    fit = written(_close(fit, _with_bits(sets, FINE), num, den), "close")
     left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("s_b"))
 
@@ -288,6 +294,27 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return fit.join(left, "a").join(right, "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def _close(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs whose fine bitmaps allow the overlap needed.  They are a tenth of
+    whole sets, and tell nearly all pairs that are not similar."""
+    left = bits.select(F.col("set").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+    right = bits.select(F.col("set").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, FINE) for i in (4, 5))
+            # A bit of one set alone is a shingle that the other does not have.
+            alone = [np.bitwise_count(u & ~v).sum(axis=1).astype(np.int64) for u, v in ((x, y), (y, x))]
+            room = np.minimum(n - alone[0], m - alone[1])
+            keep = pa.array(room >= least_overlap(n, m, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """set and component (its least set) of every set with a link.
 
@@ -308,10 +335,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """64 x WIDE bits of which each shingle sets one."""
-    out = np.zeros(64 * WIDE, bool)
-    out[(shingles % np.uint64(64 * WIDE)).astype(np.int64)] = True
+def bitmap(shingles: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """64 x wide bits of which each shingle sets one."""
+    out = np.zeros(64 * wide, bool)
+    out[(shingles % np.uint64(64 * wide)).astype(np.int64)] = True
     return np.packbits(out).view(np.uint64)
 
 
@@ -432,13 +459,13 @@ def tree_candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def _with_bits(sets: DataFrame) -> DataFrame:
+def _with_bits(sets: DataFrame, wide: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [bitmap(np.frombuffer(s.as_buffer(), np.uint64)).tobytes() for s in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["set", "bits"])
+            bits = [bitmap(np.frombuffer(s.as_buffer(), np.uint64), wide).tobytes() for s in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["set", "n", "bits"])
 
-    return sets.select("set", "shingles").mapInArrow(run, "set long, bits binary")
+    return sets.select("set", "n", "shingles").mapInArrow(run, "set long, n long, bits binary")
 
 
 def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -453,7 +480,7 @@ def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: st
     company = met.groupBy("set").agg(F.count(F.when(ranged, 1)).alias("s"))
     first = survey.where("chunk IS NULL AND n > 0").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m"))
     able = company.join(first, "set").where((F.col("s") + F.col("n") - F.col("m")) * den >= F.col("n") * num).select("set")
-    shared = met.join(written(able, "able"), "set", "left_semi")
+    shared = met.where("n > 0").join(written(able, "able"), "set", "left_semi")
     low = shared.groupBy("shingle").agg(F.min(F.struct("set", "n")).alias("low"), F.max("set").alias("high")).where("low.set <> high")
     shared = written(shared.join(low.select("shingle", F.col("low.set").alias("low"), F.col("low.n").alias("low_n")), "shingle"), "shared")
     first = first.select("set", "id")
@@ -465,7 +492,7 @@ def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: st
     labels = components(links)
     known = shared.join(labels, "set", "left").select("shingle", "set", "n", F.coalesce("component", "set").alias("component"))
     mixed = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    open_postings = known.join(mixed, "shingle", "left_semi").join(_with_bits(sets), "set")
+    open_postings = known.join(mixed, "shingle", "left_semi").join(_with_bits(sets, WIDE).drop("n"), "set")
     candidates = written(tree_candidates(open_postings, num, den), "candidates")
     more = written(verified(candidates, sets, num, den), "more-links")
     return documents, components(links.unionByName(more))
