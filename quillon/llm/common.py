@@ -61,4 +61,4 @@ def unkey(column: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of a text: maximal runs without white space; null has none."""
     plain = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(plain, " ", -1), lambda w: w != "")
+    return F.array_remove(F.split(plain, " ", -1), "")

@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import key, words, written
 
-SLOTS = 1 << 17
+SLOTS = 1 << 19
 #: Of the slots, the share that words of a class may take at most.
-FILL = 8
+FILL = 2
 LARGE = 8
 LEADERS = 4
 #: 64-bit words of the bitmaps by which pairs are told apart.
@@ -124,18 +124,18 @@ def line_sets(docs: DataFrame, table: bytes, similar: Similar, id_col: str = "do
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select(F.struct("id", "line_no").alias("at"), "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    return sets.select("id", "line_no", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
 
 
 def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar) -> DataFrame:
     """Pairs (a, b), b the earlier, that the filters let through."""
-    a = later.select(F.col("at").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("pos").alias("pos_a"), "word")
-    b = earlier.select(F.col("at").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("pos").alias("pos_b"), F.col("word").alias("word_b"))
+    a = later.select(F.col("id").alias("id_a"), F.col("line_no").alias("line_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("pos").alias("pos_a"), "word")
+    b = earlier.select(F.col("id").alias("id_b"), F.col("line_no").alias("line_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("pos").alias("pos_b"), F.col("word").alias("word_b"))
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     least = similar.overlap(F.col("n_a"), F.col("n_b"))
     fits = (
         (F.col("word") == F.col("word_b"))
-        & (F.col("b") < F.col("a"))
+        & ((F.col("id_b") < F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") < F.col("line_a"))))
         & (F.col("n_a") * similar.num <= F.col("n_b") * similar.den)
         & (F.col("n_b") * similar.num <= F.col("n_a") * similar.den)
         # True of similar sets at the first word that they share.
@@ -143,7 +143,8 @@ def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar) -> DataF
         # Each bit that differs is a word in one set alone.
         & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
     )
-    return a.join(b, fits).select("a", "b").distinct()
+    found = a.join(b, fits).select("id_a", "line_a", "id_b", "line_b").distinct()
+    return found.select(F.struct(F.col("id_a").alias("id"), F.col("line_a").alias("line_no")).alias("a"), F.struct(F.col("id_b").alias("id"), F.col("line_b").alias("line_no")).alias("b"))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similar: Similar, id_col: str, text: str) -> DataFrame:
@@ -181,7 +182,7 @@ def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
     earlier = None
     if not hot.isEmpty():
         near = written(postings.join(hot, "word", "left_semi"), "hot-postings")
-        leader = near.groupBy("word", F.pmod(F.xxhash64("at"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("at", "n", "bits", "pos")).alias("l")).select("word", "l.*")
+        leader = near.groupBy("word", F.pmod(F.xxhash64("id", "line_no"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("id", "line_no", "n", "bits", "pos")).alias("l")).select("word", "l.*")
         earlier = written(_verified(docs, written(_candidates(near, leader, similar), "leader-pairs"), similar, id_col, text), "decided")
         looking = _postings(sets.join(earlier.select("a.*"), ["id", "line_no"], "left_anti").select("id", "line_no", "n", "bits", "prefix"))
     else:
