@@ -14,8 +14,8 @@ Plan.
    range, m of a set's n shingles are posted and s of these have company: it can
    share at most s + n - m with any other, and is dropped if that is under tn.
    Passages that many documents share alone are dropped so.
-4. Each posting's least set is compared with the others: as many pairs as there
-   are entries.  Links so far give components, into which groups of copies fall.
+4. In a few turns, each set is compared with a hub of its postings: one pair for
+   each set.  Links so far give components, into which groups of copies fall.
 5. Postings that still hold several components get a signature tree each: sets
    by size and component are leaves; a node holds the OR of its sets' bitmaps,
    the range of sizes and the component if there is but one.  A traversal of
@@ -48,10 +48,11 @@ from quillon.llm.shingles import overlap, shingle_set
 
 CELLS = 1 << 22
 CHUNK = 1 << 16
-WIDE = 8  # 64-bit words of a bitmap in trees
+WIDE = 16  # 64-bit words of a bitmap in trees
 FINE = 64  # and of those by which pairs are told apart
 LEAF = 16
 POSTING = 2048
+TURNS = 4
 #: The share of the hash range that is posted whole, in 32-bit steps.
 RANGE = int(0.36 * 2**32)
 
@@ -468,6 +469,25 @@ def _with_bits(sets: DataFrame, wide: int) -> DataFrame:
     return sets.select("set", "n", "shingles").mapInArrow(run, "set long, n long, bits binary")
 
 
+def _open(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Postings that hold several components: shingle, set, n, component."""
+    if labels is None:
+        return shared.select("shingle", "set", "n", F.col("set").alias("component"))
+    known = shared.join(labels, "set", "left").select("shingle", "set", "n", F.coalesce("component", "set").alias("component"))
+    mixed = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    return known.join(mixed, "shingle", "left_semi")
+
+
+def _stars(known: DataFrame, turn: int) -> DataFrame:
+    """One pair (a, b) for each set at most: with the hub of one of its postings,
+    if that is of another component.  Hubs are first by a hash that turns change."""
+    hub = F.min(F.struct(F.xxhash64(F.lit(turn), "component").alias("h"), F.xxhash64(F.lit(turn), "set").alias("g"), "set", "component", "n")).alias("hub")
+    hubs = known.groupBy("shingle").agg(hub)
+    met = known.join(hubs, "shingle").where(F.col("component") != F.col("hub.component"))
+    own = met.groupBy("set").agg(F.min("hub").alias("hub"))
+    return own.select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
+
+
 def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents (id as ``key`` gives it, n, set) and components of linked sets
     (set, component)."""
@@ -481,18 +501,20 @@ def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: st
     first = survey.where("chunk IS NULL AND n > 0").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m"))
     able = company.join(first, "set").where((F.col("s") + F.col("n") - F.col("m")) * den >= F.col("n") * num).select("set")
     shared = met.where("n > 0").join(written(able, "able"), "set", "left_semi")
-    low = shared.groupBy("shingle").agg(F.min(F.struct("set", "n")).alias("low"), F.max("set").alias("high")).where("low.set <> high")
-    shared = written(shared.join(low.select("shingle", F.col("low.set").alias("low"), F.col("low.n").alias("low_n")), "shingle"), "shared")
+    several = shared.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("shingle")
+    shared = written(shared.join(several, "shingle", "left_semi"), "shared")
     first = first.select("set", "id")
-    fits = (F.col("n") * num <= F.col("low_n") * den) & (F.col("low_n") * num <= F.col("n") * den)
     wanted = first.join(shared.select("set").distinct(), "set", "left_semi")
     sets = written(whole_sets(plain, wanted, width), "sets")
-    stars = shared.where((F.col("set") != F.col("low")) & fits).select(F.col("low").alias("a"), F.col("set").alias("b")).distinct()
-    links = written(verified(stars, sets, num, den), "links")
-    labels = components(links)
-    known = shared.join(labels, "set", "left").select("shingle", "set", "n", F.coalesce("component", "set").alias("component"))
-    mixed = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-    open_postings = known.join(mixed, "shingle", "left_semi").join(_with_bits(sets, WIDE).drop("n"), "set")
+    links = None
+    labels = None
+    for turn in range(TURNS):
+        known = _open(shared, labels)
+        stars = written(_stars(known, turn), "stars")
+        found = written(verified(stars, sets, num, den), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+    open_postings = _open(shared, labels).join(_with_bits(sets, WIDE).drop("n"), "set")
     candidates = written(tree_candidates(open_postings, num, den), "candidates")
     more = written(verified(candidates, sets, num, den), "more-links")
     return documents, components(links.unionByName(more))
