@@ -38,6 +38,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,9 @@ from quillon.llm.shingles import _mix
 SPACE = "▁"
 SCHEMA = "doc_id long, sample int, log_p double, key double, inclusion double, ids binary"
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Noise of doubles spans under 41 nats, so a region of a mass this far below
+#: another's never has the greater key.
+WINDOW = 45.0
 _STEP = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -59,7 +63,7 @@ def default_path() -> str:
 
 
 class Vocabulary:
-    """Pieces by length, as sorted hashes of code points."""
+    """Pieces, and tables that find them by hashes of code points."""
 
     def __init__(self, path: str, offset: float = 10.0) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -77,13 +81,46 @@ class Vocabulary:
         total = weight.sum() + 256 * byte_weight
         self.log_w = np.log(np.maximum(weight, byte_weight) / total)
         self.log_byte = float(np.log(byte_weight / total))
-        by: dict[int, list[tuple[int, int]]] = {}
-        for p, i in pieces:
-            by.setdefault(len(p), []).append((_hash_text(p), i))
-        self.by_length = {}
-        for length, found in sorted(by.items()):
-            found.sort()
-            self.by_length[length] = (np.array([h for h, _ in found], np.uint64), np.array([i for _, i in found], np.int64))
+        # All beginnings of pieces, with the piece that one is, or -1.
+        begun = {_hash_text(p[:n]): -1 for p, _ in pieces for n in range(1, len(p))}
+        begun |= {_hash_text(p): i for p, i in pieces}
+        self.longest = max(len(p) for p, _ in pieces)
+        self.tables = _tables(begun)
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether hashes are of beginnings of pieces, and of which pieces."""
+        found, piece = np.zeros(len(h), bool), np.full(len(h), -1, np.int64)
+        rest = np.arange(len(h))
+        for times, keys, ids in self.tables:
+            at = (h[rest] * times) >> np.uint64(64 - _BITS)
+            hit = keys[at] == h[rest]
+            found[rest[hit]] = True
+            piece[rest[hit]] = ids[at[hit]]
+            rest = rest[~hit]
+        return found, piece
+
+
+#: Bits of the index into tables of beginnings.
+_BITS = 20
+
+
+def _tables(entries: dict[int, int]) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+    """Tables of one entry for each slot; what a slot has no room for goes on to
+    the next table."""
+    out, left, turn = [], entries, 0
+    while left:
+        turn += 1
+        times = (0x9E3779B97F4A7C15 * (2 * turn + 1)) & ((1 << 64) - 1)
+        keys, ids, next_ = np.zeros(1 << _BITS, np.uint64), np.full(1 << _BITS, -1, np.int64), {}
+        for h, i in left.items():
+            at = ((h * times) & ((1 << 64) - 1)) >> (64 - _BITS)
+            if keys[at]:
+                next_[h] = i
+            else:
+                keys[at], ids[at] = h, i
+        out.append((np.uint64(times), keys, ids))
+        left = next_
+    return out
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -117,26 +154,25 @@ class Lattice:
         nodes = len(points)
         left = np.repeat(self.end, size + 1) - np.arange(nodes)
         a, b, ids, logs = [], [], [], []
-        h = np.zeros(nodes, np.uint64)
         covered = np.zeros(nodes, bool)
         at = np.flatnonzero(left > 0)
-        for length in range(1, max(v.by_length) + 1):
-            at = at[left[at] >= length]
-            if not len(at):
-                break
-            h[at] = h[at] * np.uint64(_BASE) + points[at + length - 1] + np.uint64(1)
-            if length not in v.by_length:
-                continue
-            keys, own = v.by_length[length]
-            place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-            hit = keys[place] == h[at]
+        state = np.zeros(len(at), np.uint64)
+        for length in range(1, v.longest + 1):
+            state = state * np.uint64(_BASE) + points[at + length - 1] + np.uint64(1)
+            begun, piece = v.look(state)
+            hit = piece >= 0
             where = at[hit]
             a.append(where)
             b.append(where + length)
-            ids.append(own[place[hit]])
+            ids.append(piece[hit])
             logs.append(v.log_w[ids[-1]])
             if length == 1:
                 covered[where] = True
+            # Only what begins a longer piece goes on.
+            go = begun & (left[at] > length)
+            at, state = at[go], state[go]
+            if not len(at):
+                break
         bare = np.flatnonzero((left > 0) & ~covered)
         code = points[bare].astype(np.int64)
         n_bytes = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
@@ -226,17 +262,21 @@ class _Search:
 
         ``out``: the edges already excluded at ``start``."""
         logs = lattice.log_p[edges]
-        before = np.cumsum(logs) - logs
-        rest = 1 - lattice.p[edges[start:]]
-        if out and len(rest):
-            rest[0] -= lattice.p[list(out)].sum()
-        rest = np.where(rest > 1e-12, rest, 0.0)
-        with np.errstate(divide="ignore"):
-            mass = before[start:] + np.log(rest)
         self.samples.append((edges, float(logs.sum()), key))
-        # A region over 700 nats below the best is beyond any double's noise.
-        good = np.flatnonzero(mass > mass.max(initial=-np.inf) - 700) if len(mass) else mass.astype(int)
-        good = good[np.isfinite(mass[good])]
+        at = float(logs[:start].sum())
+        for n in (256, len(edges)):
+            part = logs[start : start + n]
+            before = at + np.cumsum(part) - part
+            rest = 1 - lattice.p[edges[start : start + n]]
+            if out and len(rest):
+                rest[0] -= lattice.p[list(out)].sum()
+            rest = np.where(rest > 1e-12, rest, 0.0)
+            with np.errstate(divide="ignore"):
+                mass = before + np.log(rest)
+            best = mass.max(initial=-np.inf)
+            if len(part) < n or best - before[-1] > WINDOW:
+                break
+        good = np.flatnonzero(mass > best - WINDOW)
         if not len(good):
             return
         # Gumbel of that mass, at most the sample's key.
@@ -250,10 +290,10 @@ class _Search:
 def sample_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each text up to k samples (log_p, key, inclusion, ids)."""
     split = [_chunks(t) for t in texts]
-    number: dict[str, int] = {}
-    flat = np.array([number.setdefault(c, len(number)) for cs in split for c in cs], np.int64)
-    lattice = Lattice(list(number), v)
     counts = np.array([len(cs) for cs in split], np.int64)
+    number = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+    flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+    lattice = Lattice(list(number), v)
     begin = np.cumsum(counts) - counts
     text_of = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(flat)) - begin[text_of]
