@@ -24,15 +24,15 @@ from quillon.llm.sigtree import near_classes
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    judged = quality_rules(docs, table(spark, sf_dir, "labels"), carry=True)
-    return judged.where("kept").select(*docs.columns)
+    judged = quality_rules(_apart(docs), table(spark, sf_dir, "labels"), carry=True)
+    return _back(judged.where("kept"), docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like earlier lines go, and documents of which no word is left by that."""
-    out = dedup_lines(docs)
+    out = dedup_lines(_apart(docs))
     emptied = (F.size("removed") > 0) & (F.size(words(F.col("text"))) == 0)
-    return _counted(out.where(~emptied), docs.columns)
+    return _counted(_back(out.where(~emptied), docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of secrets are replaced by a mark."""
-    found = with_spans(docs, default_model(docs))
-    return _counted(found.withColumn("text", redacted(F.col("text"), F.col("secret_spans"))), docs.columns)
+    found = with_spans(_apart(docs), default_model(docs))
+    return _counted(_back(found.withColumn("text", redacted(F.col("text"), F.col("secret_spans"))), docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,10 +53,21 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast("long"))
-    return docs.select(*columns)
+#: Columns that operators use; others step aside while one adds its own.
+USED = ("doc_id", "text", "lang")
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in docs.columns if c not in USED})
+
+
+def _back(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their own names."""
+    return out.select(*[F.col(c if c in USED else f"__own_{c}").alias(c) for c in docs.columns])
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
