@@ -61,5 +61,15 @@ def test_near_duplicates_stage(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 2, 4, 6]
 
 
+def test_names_that_clash(spark, folder):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").withColumns({c: F.col("doc_id") for c in ("n_words", "removed", "base_spans", "kept", "set", "shingle")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder[0])
+        assert out.columns == docs.columns and out.where("n_words <> doc_id OR removed <> doc_id OR base_spans <> doc_id OR kept <> doc_id").count() == 0
+        docs = corpus_pipeline.written(out, "clash")
+
+
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
