@@ -22,6 +22,8 @@ Plan.
    pairs of nodes drops those of one component, those whose sizes cannot go
    together, and those whose bitmaps share too few bits for the overlap needed.
    Large postings are cut into chunks, and pairs of chunks spread over tasks.
+   At first only each set's most promising pair is taken and verified, so that
+   the last traversal, which takes all, meets few components.
 6. Pairs that are left are verified on whole sets.
 
 A pair is dropped only if it cannot be linked or if its ends are in one
@@ -52,7 +54,9 @@ WIDE = 16  # 64-bit words of a bitmap in trees
 FINE = 64  # and of those by which pairs are told apart
 LEAF = 16
 POSTING = 2048
-TURNS = 4
+#: Turns in which sets are compared with a hub, and with their best mate by tree.
+TURNS = 1
+BEST = 2
 #: The share of the hash range that is posted whole, in 32-bit steps.
 RANGE = int(0.36 * 2**32)
 
@@ -376,17 +380,18 @@ def _may_meet(x: Node, y: Node, num: int, den: int) -> bool:
     return room >= least_overlap(x.least, y.least, num, den)
 
 
-def tree_pairs(sets: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray, num: int, den: int, cut: np.ndarray | None = None) -> list[tuple[int, int]]:
+def tree_pairs(sets: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray, num: int, den: int, cut: np.ndarray | None = None, best: bool = False) -> list[tuple[int, int]]:
     """Pairs of different components that may be similar, by dual traversal.
 
     ``cut``: if given, whether a row is of the left of two chunks; then only
-    pairs across are wanted."""
+    pairs across are wanted.  ``best``: only each set's most promising pair."""
     order = np.lexsort((n, component))
     sets, n, component, bits = sets[order], n[order], component[order], bits[order]
     side = cut[order] if cut is not None else None
     extra = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
     root = Node(0, len(sets), n, component, extra, bits)
     out, todo = [], [(root, root)]
+    top, mate = np.full(len(sets), -1.0), np.zeros(len(sets), np.int64)
     while todo:
         x, y = todo.pop()
         if not _may_meet(x, y, num, den):
@@ -405,13 +410,21 @@ def tree_pairs(sets: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.
             good &= i[:, None] < j[None]
         if side is not None:
             good &= side[i][:, None] != side[j][None]
-        for p, q in zip(*np.nonzero(good)):
-            a, b = int(sets[i[p]]), int(sets[j[q]])
-            out.append((a, b) if a < b else (b, a))
-    return out
+        if best:
+            chance = np.where(good, room / (n[i][:, None] + n[j][None]), -1.0)
+            for rows, others, c in ((i, j, chance), (j, i, chance.T)):
+                at = c.argmax(axis=1)
+                value = c[np.arange(len(rows)), at]
+                better = value > top[rows]
+                top[rows[better]], mate[rows[better]] = value[better], others[at[better]]
+            continue
+        out += [(i[p], j[q]) for p, q in zip(*np.nonzero(good))]
+    if best:
+        out = [(i, mate[i]) for i in np.flatnonzero(top >= 0)]
+    return [(min(a, b), max(a, b)) for a, b in ((int(sets[i]), int(sets[j])) for i, j in out)]
 
 
-def tree_candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
+def tree_candidates(postings: DataFrame, num: int, den: int, best: bool = False) -> DataFrame:
     """Distinct pairs (a, b) from ``postings`` (shingle, set, n, component, bits).
 
     A posting of over POSTING sets is cut into chunks by hash, and each pair of
@@ -430,7 +443,7 @@ def tree_candidates(postings: DataFrame, num: int, den: int) -> DataFrame:
             _, i, j, own, sets, n, component, bits = rows
             if len(sets) > 1 and (component != component[0]).any():
                 cut = own == i if i[0] != j[0] else None
-                seen.update(tree_pairs(sets, n, component, bits, num, den, cut))
+                seen.update(tree_pairs(sets, n, component, bits, num, den, cut, best))
 
         def pairs() -> pa.RecordBatch:
             a, b = zip(*seen)
@@ -514,10 +527,12 @@ def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: st
         found = written(verified(stars, sets, num, den), "links")
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-    open_postings = _open(shared, labels).join(_with_bits(sets, WIDE).drop("n"), "set")
-    candidates = written(tree_candidates(open_postings, num, den), "candidates")
-    more = written(verified(candidates, sets, num, den), "more-links")
-    return documents, components(links.unionByName(more))
+    for turn in range(BEST + 1):
+        open_postings = _open(shared, labels).join(_with_bits(sets, WIDE).drop("n"), "set")
+        candidates = written(tree_candidates(open_postings, num, den, best=turn < BEST), "candidates")
+        links = links.unionByName(written(verified(candidates, sets, num, den), "more-links"))
+        labels = components(links)
+    return documents, labels
 
 
 def near_classes(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
