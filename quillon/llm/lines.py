@@ -147,15 +147,32 @@ def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar) -> DataF
     return found.select(F.struct(F.col("id_a").alias("id"), F.col("line_a").alias("line_no")).alias("a"), F.struct(F.col("id_b").alias("id"), F.col("line_b").alias("line_no")).alias("b"))
 
 
+def _marks(places: DataFrame, slots: int = SLOTS) -> bytes:
+    """A table of seven bits a byte, set for the places (id, line_no)."""
+    h = F.pmod(F.xxhash64("id", "line_no"), F.lit(7 * slots))
+    bit = F.call_function("shiftleft", F.lit(1), (h % 7).cast("int"))
+    table = bytearray(slots)
+    for r in places.select(F.floor(h / 7).cast("int").alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect():
+        table[r.i] = r.b
+    return bytes(table)
+
+
+def _marked(table: bytes) -> Column:
+    h = F.pmod(F.xxhash64("id", "line_no"), F.lit(7 * len(table)))
+    byte = F.ascii(F.substring(F.lit(table), F.floor(h / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (h % 7).cast("int"))) != 0
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, similar: Similar, id_col: str, text: str) -> DataFrame:
-    """The places a of pairs that are similar, by their words."""
-    at = written(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct(), "places")
-    needed = at.groupBy(F.col("at.id").alias("need")).agg(F.collect_set("at.line_no").alias("numbers"))
-    texts = docs.select(key(id_col).alias("id"), F.split(F.col(text), "\n", -1).alias("lines")).join(needed, F.col("id") == F.col("need"))
-    cut = texts.select("id", F.explode("numbers").alias("line_no"), "lines").select("id", "line_no", F.array_distinct(F.transform(words(F.lower(F.get("lines", F.col("line_no")))), lambda w: F.xxhash64(w))).alias("w"))
-    # Rows that share an id and line number: one of their lines was eligible
-    # as a, one as b; any of them counts.
-    sets = written(cut.where(F.size("w") >= similar.min_tokens).select(F.struct("id", "line_no").alias("at"), "w"), "words")
+    """The places a of pairs that are similar, by their words.
+
+    Lines are chosen by a bounded table of marks, so no text is shuffled; what
+    it lets through besides has no pair."""
+    places = pairs.select(F.explode(F.array("a", "b")).alias("at")).select("at.*").distinct()
+    asked = lines_of(docs, id_col, text).where(_marked(_marks(places)))
+    hashes = F.array_distinct(F.transform(words(F.lower(F.col("line"))), lambda w: F.xxhash64(w)))
+    # Rows that share an id and line number: any of their lines counts.
+    sets = written(asked.select(F.struct("id", "line_no").alias("at"), hashes.alias("w")).where(F.size("w") >= similar.min_tokens), "words")
     # Wider bitmaps first: they are shorter than sets and tell most pairs apart.
     bits = F.array(*[_bits(F.filter("w", _of_slice(j))) for j in range(WIDE)])
     maps = sets.select("at", F.size("w").alias("n"), bits.alias("bits"))
