@@ -50,13 +50,13 @@ from quillon.llm.shingles import overlap, shingle_set
 
 CELLS = 1 << 22
 CHUNK = 1 << 16
-WIDE = 16  # 64-bit words of a bitmap in trees
+WIDE = 32  # 64-bit words of a bitmap in trees
 FINE = 64  # and of those by which pairs are told apart
 LEAF = 16
 POSTING = 2048
 #: Turns in which sets are compared with a hub, and with their best mate by tree.
 TURNS = 1
-BEST = 2
+BEST = 1
 #: The share of the hash range that is posted whole, in 32-bit steps.
 RANGE = int(0.36 * 2**32)
 
@@ -385,6 +385,8 @@ def tree_pairs(sets: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.
 
     ``cut``: if given, whether a row is of the left of two chunks; then only
     pairs across are wanted.  ``best``: only each set's most promising pair."""
+    if len(sets) <= FEW:
+        return _few_pairs(sets, n, component, bits, num, den, cut, best)
     order = np.lexsort((n, component))
     sets, n, component, bits = sets[order], n[order], component[order], bits[order]
     side = cut[order] if cut is not None else None
@@ -424,6 +426,31 @@ def tree_pairs(sets: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.
     return [(min(a, b), max(a, b)) for a, b in ((int(sets[i]), int(sets[j])) for i, j in out)]
 
 
+#: A tree of so few sets is its leaf: pairs are taken one by one.
+FEW = 8
+
+
+def _few_pairs(sets: np.ndarray, n: np.ndarray, component: np.ndarray, bits: np.ndarray, num: int, den: int, cut: np.ndarray | None, best: bool) -> list[tuple[int, int]]:
+    maps = [int.from_bytes(b.tobytes(), "little") for b in bits]
+    sets, n, component = sets.tolist(), n.tolist(), component.tolist()
+    extra = [x - b.bit_count() for x, b in zip(n, maps)]
+    out, top = [], {}
+    for i in range(len(sets)):
+        for j in range(i):
+            if component[i] == component[j] or (cut is not None and cut[i] == cut[j]):
+                continue
+            room = (maps[i] & maps[j]).bit_count() + min(extra[i], extra[j])
+            if room < least_overlap(n[i], n[j], num, den):
+                continue
+            pair = (min(sets[i], sets[j]), max(sets[i], sets[j]))
+            out.append(pair)
+            chance = room / (n[i] + n[j])
+            for k in (i, j):
+                if chance > top.get(k, (0.0, pair))[0]:
+                    top[k] = (chance, pair)
+    return list({p for _, p in top.values()}) if best else out
+
+
 def tree_candidates(postings: DataFrame, num: int, den: int, best: bool = False) -> DataFrame:
     """Distinct pairs (a, b) from ``postings`` (shingle, set, n, component, bits).
 
