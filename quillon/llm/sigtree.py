@@ -56,7 +56,7 @@ LEAF = 16
 POSTING = 2048
 #: Turns in which sets are compared with a hub, and with their best mate by tree.
 TURNS = 1
-BEST = 1
+BEST = 2
 #: The share of the hash range that is posted whole, in 32-bit steps.
 RANGE = int(0.36 * 2**32)
 
