@@ -50,7 +50,8 @@ from quillon.llm.shingles import overlap, shingle_set
 
 CELLS = 1 << 22
 CHUNK = 1 << 16
-WIDE = 32  # 64-bit words of a bitmap in trees
+#: 64-bit words of bitmaps in trees: in turns of best mates, and in the last one.
+WIDE, WIDER = 8, 24
 FINE = 64  # and of those by which pairs are told apart
 LEAF = 16
 POSTING = 2048
@@ -478,8 +479,10 @@ def tree_candidates(postings: DataFrame, num: int, den: int, best: bool = False)
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, WIDE)
+            bits = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
             rows = (*columns, bits)
             change = np.flatnonzero((np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0) | (np.diff(columns[2]) != 0)) + 1
             edges = [0, *change.tolist(), len(bits)]
@@ -555,7 +558,7 @@ def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: st
         links = found if links is None else links.unionByName(found)
         labels = components(links)
     for turn in range(BEST + 1):
-        open_postings = _open(shared, labels).join(_with_bits(sets, WIDE).drop("n"), "set")
+        open_postings = _open(shared, labels).join(_with_bits(sets, WIDE if turn < BEST else WIDER).drop("n"), "set")
         candidates = written(tree_candidates(open_postings, num, den, best=turn < BEST), "candidates")
         links = links.unionByName(written(verified(candidates, sets, num, den), "more-links"))
         labels = components(links)
