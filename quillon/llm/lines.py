@@ -2,14 +2,15 @@
 
 A line's set is its distinct lower-case words.  A line goes if an earlier line
 (by document id, then line number) has a set whose Jaccard similarity with its
-own is at least the threshold.  Lines with fewer than ``min_tokens`` distinct
-words stay, as such lines meet by chance.
+own is at least the threshold.  Lines without a word stay.  So do those with
+fewer than ``min_tokens`` distinct words where a caller sets such a minimum.
 
 Plan.  (1) Words are counted over the corpus; those that occur most often, as
 many as fit a table of ``SLOTS`` places, get a class of rarity.  (2) Each line
 orders its words by class, then hash, and keeps the prefix without which no
 line that is similar enough can do.  (3) Equal sets become one, at the place of
-their first line; all others of them go.  (4) Sets that share a prefix word are
+their first line; all others of them go.  Sets so short that only an equal set is
+similar (at 0.85, up to 5 words) are decided by that.  (4) Sets that share a prefix word are
 candidates if sizes allow it (length filter) and if enough words are left after
 the shared one (positional filter).  (5) Candidates are verified on all words,
 by their 64-bit hashes.
@@ -53,12 +54,16 @@ class Similar:
 
     num: int = 17
     den: int = 20
-    min_tokens: int = 5
+    min_tokens: int = 1
 
     def prefix(self, n: Column) -> Column:
         """n - ceil(t n) + 1 words, of which any similar set has one."""
         return (n - F.ceil(n * self.num / F.lit(self.den)) + 1).cast("int")
 
+    def by_equality(self, n: Column) -> Column:
+        """Whether only an equal set is similar to a set of n words."""
+        return (F.floor(n * self.den / F.lit(self.num)) == n) & (F.ceil(n * self.num / F.lit(self.den)) == n) & (self.overlap(n, n) >= n)
+
     def overlap(self, n: Column, m: Column) -> Column:
         """The least overlap of sets of n and m words: t / (1 + t) (n + m)."""
         return F.ceil((n + m) * self.num / F.lit(float(self.num + self.den)) - 1e-9)
@@ -194,14 +199,15 @@ def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
     lines = line_sets(docs, table, similar, id_col, text)
     first = lines.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "bits", "prefix"), F.struct("id", "line_no")).alias("s"), F.min(F.struct("id", "line_no")).alias("at"))
     sets = written(first.select("at.*", "s.*", "k1"), "sets")
-    postings = _postings(sets)
+    joined = sets.where(~similar.by_equality(F.col("n")))
+    postings = _postings(joined)
     hot = written(postings.groupBy("word").count().where(F.col("count") > LARGE).select("word"), "hot-words")
     earlier = None
     if not hot.isEmpty():
         near = written(postings.join(hot, "word", "left_semi"), "hot-postings")
         leader = near.groupBy("word", F.pmod(F.xxhash64("id", "line_no"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("id", "line_no", "n", "bits", "pos")).alias("l")).select("word", "l.*")
         earlier = written(_verified(docs, written(_candidates(near, leader, similar), "leader-pairs"), similar, id_col, text), "decided")
-        looking = _postings(sets.join(earlier.select("a.*"), ["id", "line_no"], "left_anti").select("id", "line_no", "n", "bits", "prefix"))
+        looking = _postings(joined.join(earlier.select("a.*"), ["id", "line_no"], "left_anti").select("id", "line_no", "n", "bits", "prefix"))
     else:
         looking = postings
     pairs = written(_candidates(looking, postings, similar), "pairs")

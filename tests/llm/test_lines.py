@@ -66,3 +66,22 @@ def test_repeated_rows_and_none(spark):
     got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(1, "one two three four five"), (1, "one two three four five"), (2, "x")]
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_short_lines_take_part(spark):
+    rows = [(1, "All rights reserved.\n\nmenu"), (2, "all RIGHTS  reserved.\nMenu\n \nfour words are here"), (3, "here are words four\n\nreserved. all\nrights reserved. all all"), (4, None)]
+    got = {r.doc_id: (r.text, r.removed) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], []) and got[2] == (" \nfour words are here", [0, 1]) and got[3] == ("\nreserved. all", [0, 3])
+    assert {i: t for i, (t, _) in got.items() if t is not None} == brute(rows, lines.Similar(min_tokens=1))
+    spared = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), lines.Similar(min_tokens=5)).collect()}
+    assert spared == dict(rows)
+
+
+def test_sets_that_only_equal_ones_are_like(spark):
+    for num, den in ((17, 20), (1, 2), (1, 1), (9, 10)):
+        s = lines.Similar(num, den)
+        got = {r.n: r.e for r in spark.range(1, 60).select(F.col("id").cast("int").alias("n")).withColumn("e", s.by_equality(F.col("n"))).collect()}
+        for n, e in got.items():
+            # A set within the other is most like it; of equal sizes, one that differs in one word.
+            sizes = [m for m in range(1, 200) if m != n and min(n, m) * den >= max(n, m) * num]
+            assert e == (not sizes and (n - 1) * den < (n + 1) * num), (num, den, n)
