@@ -3,9 +3,10 @@
 Patterns find assignments, access keys and long hexadecimal runs.  They miss
 secrets that stand alone.  For these, two first-order Markov models over
 characters are trained from labelled samples, one on random strings and one on
-ordinary identifiers; a maximal run of token characters that touches no
-pattern's span becomes a further span (kind ``markov``) if the log-likelihood
-ratio per transition between the models is over a threshold.  The threshold is
+ordinary identifiers; what patterns' spans leave of a maximal run of token
+characters, in pieces of ``SHORTEST`` or more, becomes further spans (kind
+``markov``) where the log-likelihood ratio per transition between the models is
+over a threshold.  The threshold is
 taken from held-out labelled samples of full length: at most ``false`` of the
 ordinary ones score above it, and no more than the share ``missed`` of the
 random ones is given up for the sake of fewer false spans.
@@ -37,7 +38,8 @@ PATTERNS = {
     "access": r"AKIA[A-Z0-9]+",
     "hex": r"[0-9a-f]{16,}",
 }
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+SHORTEST = 16
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
 SPAN = "array<struct<s:int,k:int,e:int,kind:string>>"
@@ -160,13 +162,24 @@ def with_spans(docs: DataFrame, model: Markov, text: str = "text") -> DataFrame:
     base = F.concat(*[_places(t, p, kind, rank) for rank, (kind, p) in enumerate(PATTERNS.items())])
     docs = docs.withColumn("base_spans", F.array_sort(base)).withColumn("__runs", _places(t, CANDIDATE, "markov", len(PATTERNS)))
 
-    def clear(x: Column) -> Column:
-        return ~F.exists(F.col("base_spans"), lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
+    def span(s: Column, e: Column) -> Column:
+        return F.struct(s.alias("s"), F.lit(len(PATTERNS)).alias("k"), e.alias("e"), F.lit("markov").alias("kind"))
+
+    def pieces(x: Column) -> Column:
+        """What base spans, which come by start, leave of a run."""
+        over = F.filter("base_spans", lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
+        start = F.struct(x["s"].alias("at"), F.array().cast(SPAN).alias("out"))
+
+        def step(acc: Column, b: Column) -> Column:
+            return F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.concat(acc["out"], F.array(span(acc["at"], b["s"]))).alias("out"))
+
+        return F.aggregate(over, start, step, lambda acc: F.concat(acc["out"], F.array(span(acc["at"], x["e"]))))
 
     def random(x: Column) -> Column:
         return mean_ratio(F.substring(t, x["s"] + 1, x["e"] - x["s"]), model.ratios) > model.threshold
 
-    added = F.filter("__runs", lambda x: clear(x) & random(x))
+    left = F.filter(F.flatten(F.transform("__runs", pieces)), lambda x: x["e"] - x["s"] >= SHORTEST)
+    added = F.filter(left, random)
     return docs.withColumn("secret_spans", F.array_sort(F.concat("base_spans", added))).drop("__runs")
 
 
