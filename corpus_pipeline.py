@@ -36,10 +36,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class the document of the least id stays, with its first row."""
-    classes = near_classes(docs)
-    gone = written(classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, key("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns)
+    """Of each class one row stays: of those with the least id and one text, the
+    row that sorts first.  Rows are told apart by a 64-bit digest of id and text,
+    so an id may be null or repeated.  Rows without a word are in no class."""
+    rows = docs.withColumn("__row", F.xxhash64(key("doc_id"), "text"))
+    classes = near_classes(rows.select("__row", "text"), id_col="__row").where("n_shingles > 0")
+    named = classes.groupBy(key("doc_id").alias("__row")).agg(F.min(key("component_id")).alias("__class"), F.count(F.lit(1)).alias("__copies"))
+    ids = rows.groupBy("__row").agg(F.min(key("doc_id")).alias("__id"))
+    found = written(named.join(ids, "__row"), "classes")
+    stay = found.groupBy("__class").agg(F.min(F.struct("__id", "__row")).alias("s")).select("s.__row")
+    gone = written(found.select("__row").join(stay, "__row", "left_anti"), "gone")
+    left = rows.join(gone, "__row", "left_anti")
+    copied = found.where("__copies > 1").select("__row").join(gone, "__row", "left_anti")
+    if copied.isEmpty():
+        return left.select(*docs.columns)
+    one = left.join(copied, "__row", "left_semi").groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("s")).select("s.*")
+    return left.join(copied, "__row", "left_anti").select(*docs.columns).unionByName(one)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,3 +73,18 @@ def test_names_that_clash(spark, folder):
 
 def test_run(spark, folder):
     assert corpus_pipeline.run(spark, folder[0]).count() > 0
+
+
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (words(rng, 200) for _ in range(4))
+    near = a.split(" ")
+    near[50] = "other"
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "r", 1), (1, a, "en", "s", 1), (2, b, "en", "s", 1), (2, " ".join(near), "en", "s", 1)]
+    rows += [(None, c, "en", "s", 1), (None, c, "en", "s", 1), (7, c, "en", "s", 1), (None, d, "en", "s", 1), (8, "", "en", "s", 0), (8, "", "en", "s", 0), (9, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.dtypes == docs.dtypes
+    # The row of id 2 that is like nothing stays although its namesake goes.
+    want = [(1, a, "en", "r", 1), (2, b, "en", "s", 1), (None, c, "en", "s", 1), (None, d, "en", "s", 1), (8, "", "en", "s", 0), (8, "", "en", "s", 0), (9, None, "en", "s", 0)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
