@@ -25,7 +25,8 @@ Pieces hold a space (shown as U+2581) only at their start, so the lattice falls
 into chunks at spaces: chunks that repeat in a batch are built once, and all
 walks of a batch are taken side by side.
 
-A region whose share of its parent is under 1e-12 counts as empty.
+What a node has besides an excluded edge is summed over its other edges, never
+taken as 1 less the edge, so a region of any share is found.
 
 Edge cases: a null text is an empty one.  An empty text has one segmentation,
 without pieces, of probability 1.  Texts with fewer than k segmentations give
@@ -180,31 +181,54 @@ class Lattice:
         b.append(bare + 1)
         ids.append(-1 - code)
         logs.append(n_bytes * v.log_byte)
-        source, target, ids, logs = (np.concatenate(x) for x in (a, b, ids, logs))
-        order = np.argsort(source, kind="stable")
-        source, self.target, self.piece, logs = source[order], target[order], ids[order], logs[order]
-        self.first = np.searchsorted(source, np.arange(nodes + 1))
+        # A node has at most one edge of each length, and lengths come in order:
+        # places of edges follow from counts, without a sort.
+        degree = np.zeros(nodes, np.int64)
+        for x in a:
+            degree[x] += 1
+        self.first = np.concatenate([[0], np.cumsum(degree)])
+        edges = int(self.first[-1])
+        source, self.target, self.piece, logs_of = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
+        turn, ranked = np.zeros(nodes, np.int64), np.empty(edges, np.uint16)
+        for x, y, i, w in zip(a, b, ids, logs):
+            r = turn[x]
+            e = self.first[x] + r
+            source[e], self.target[e], self.piece[e], logs_of[e], ranked[e] = x, y, i, w, r
+            turn[x] = r + 1
+        logs = logs_of
         # Sums from the end: all nodes with as many characters left at once.
         beta = np.zeros(nodes)
-        by_left = np.argsort(left[source], kind="stable")
-        bounds = np.searchsorted(left[source][by_left], np.arange(1, int(left.max(initial=0)) + 2))
+        of_edge = left[source]
+        most = int(left.max(initial=0))
+        by_left = np.argsort(of_edge.astype(np.uint16) if most < 1 << 16 else of_edge, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(of_edge, minlength=most + 1))])[1:]
         for lo, hi in zip(bounds, bounds[1:]):
             e = by_left[lo:hi]
             x = logs[e] + beta[self.target[e]]
             s = source[e]
-            head = np.flatnonzero(np.diff(s, prepend=-1))
+            head = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             top = np.maximum.reduceat(x, head)
-            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff([*head, len(s)]))), head)
+            total = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(head, append=len(s)))), head)
             beta[s[head]] = top + np.log(total)
         self.log_p = logs + beta[self.target] - beta[source]
-        p = np.exp(self.log_p)
-        sums = np.cumsum(p)
-        before = np.concatenate([[0.0], sums])[self.first[source]]
-        self.upto = sums - before
+        self.p = np.exp(self.log_p)
+        # Sums up to an edge, and of what its node has besides it: from both ends,
+        # so that a share near 1 leaves no rounding in place of the rest.
+        self.upto, after = self.p.copy(), np.zeros(edges)
+        by_rank = np.argsort(ranked, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(ranked))])
+        for lo, hi in zip(bounds[1:], bounds[2:]):
+            e = by_rank[lo:hi]
+            self.upto[e] += self.upto[e - 1]
+        for lo, hi in reversed(list(zip(bounds[1:], bounds[2:]))):
+            e = by_rank[lo:hi]
+            after[e - 1] = self.p[e] + after[e]
+        before = np.where(ranked > 0, np.roll(self.upto, 1), 0.0)
+        with np.errstate(divide="ignore"):
+            self.log_rest = np.log(before + after)
         # Rounding must not let a draw pass a node's last edge.
-        last = self.first[1:][np.diff(self.first) > 0] - 1
+        last = self.first[1:][degree > 0] - 1
         self.upto[last] = 2.0
-        self.p = p
 
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from ``node`` to ``end``, one walk after the other, and
@@ -264,19 +288,23 @@ class _Search:
         logs = lattice.log_p[edges]
         self.samples.append((edges, float(logs.sum()), key))
         at = float(logs[:start].sum())
+        rest = -np.inf if out else None
+        if out:
+            node = int(np.searchsorted(lattice.first, edges[start], side="right")) - 1
+            left = sum(lattice.p[i] for i in range(lattice.first[node], lattice.first[node + 1]) if i not in out and i != edges[start])
+            rest = float(np.log(left)) if left else -np.inf
         for n in (256, len(edges)):
             part = logs[start : start + n]
             before = at + np.cumsum(part) - part
-            rest = 1 - lattice.p[edges[start : start + n]]
-            if out and len(rest):
-                rest[0] -= lattice.p[list(out)].sum()
-            rest = np.where(rest > 1e-12, rest, 0.0)
-            with np.errstate(divide="ignore"):
-                mass = before + np.log(rest)
+            mass = before + lattice.log_rest[edges[start : start + n]]
+            if rest is not None and len(mass):
+                mass[0] = before[0] + rest
             best = mass.max(initial=-np.inf)
-            if len(part) < n or best - before[-1] > WINDOW:
+            good = np.flatnonzero(mass > best - WINDOW)
+            if len(part) < n or (len(good) >= k and best - before[-1] > WINDOW):
                 break
-        good = np.flatnonzero(mass > best - WINDOW)
+        if len(good) < k:  # all are wanted, however small
+            good = np.flatnonzero(mass > -np.inf)
         if not len(good):
             return
         # Gumbel of that mass, at most the sample's key.
@@ -342,12 +370,14 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
 
 def _other(lattice: Lattice, node: int, shut: tuple[int, ...], s: _Search) -> int:
     """An edge of a node that is not shut, by probability."""
-    own = np.arange(lattice.first[node], lattice.first[node + 1])
-    p = np.where(np.isin(own, shut), 0.0, lattice.p[own])
-    sums = np.cumsum(p)
+    own = [(i, float(lattice.p[i])) for i in range(lattice.first[node], lattice.first[node + 1]) if i not in shut]
     s.count += 1
-    u = float(_uniform(np.array([s.key]) + np.array([s.count], np.uint64) * _STEP[0])[0])
-    return int(own[min(np.searchsorted(sums, u * sums[-1], side="right"), np.flatnonzero(p)[-1])])
+    u = float(_uniform(np.array([s.key]) + np.array([s.count], np.uint64) * _STEP[0])[0]) * sum(p for _, p in own)
+    for i, p in own:
+        u -= p
+        if u < 0:
+            break
+    return i
 
 
 def _ids(pieces: np.ndarray, v: Vocabulary) -> np.ndarray:

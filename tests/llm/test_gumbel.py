@@ -45,6 +45,19 @@ def test_probabilities_are_exact():
             assert all(s[2] == 1.0 for s in samples)
 
 
+def test_regions_of_tiny_shares_are_found():
+    for text in ["Bank", "Clark", "Dark", "the Bank"]:
+        want = exact(text)
+        for key in range(8):
+            samples = gumbel.sample_batch([text], gumbel.row_keys([key], 1), len(want) + 1, V)[0]
+            assert {tuple(s[3].tolist()) for s in samples} == set(want)
+            assert all(s[2] == 1.0 and abs(s[0] - want[tuple(s[3].tolist())]) < 1e-9 for s in samples)
+            # With one left out, it is the reason why no score is 1.
+            fewer = gumbel.sample_batch([text], gumbel.row_keys([key], 1), len(want) - 1, V)[0]
+            kappa = min(s[1] for s in samples)
+            assert all(abs(s[2] + math.expm1(-math.exp(min(s[0] - kappa, 700)))) < 1e-6 for s in fewer)
+
+
 def test_draws_follow_probabilities():
     text, n = "the", 4000
     want = exact(text)
