@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,29 +23,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a
+    temporary folder is made and set if all runs in one process on one machine,
+    as in tests; on a cluster nothing but that setting will do.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Shuffle files of a query go when it ends, not when the driver happens to
+#: collect its garbage.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def clean_shuffles(spark: SparkSession) -> Iterator[None]:
+    was = spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN, was)
+
+
+def written(df: DataFrame, name: str, folder: str | None = None, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     This cuts the lineage: what later stages read survives the loss of any
-    executor, and is not computed again for each of several readers.
+    executor, and is not computed again for each of several readers.  The
+    shuffles that made it are of no more use and go at once.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with clean_shuffles(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run of an operator, which go together once it has written
+    what its result reads."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove(self.folder)
+
+    def written(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        return written(df, name, self.folder, codec)
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Tables of this run whose last reader has run."""
+        for t in tables:
+            for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+                self.remove(folder)
+
+    def remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

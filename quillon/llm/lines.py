@@ -5,47 +5,55 @@ A line's set is its distinct lower-case words.  A line goes if an earlier line
 own is at least the threshold.  Lines without a word stay.  So do those with
 fewer than ``min_tokens`` distinct words where a caller sets such a minimum.
 
-Plan.  (1) Words are counted over the corpus; those that occur most often, as
-many as fit a table of ``SLOTS`` places, get a class of rarity.  (2) Each line
-orders its words by class, then hash, and keeps the prefix without which no
-line that is similar enough can do.  (3) Equal sets become one, at the place of
-their first line; all others of them go.  Sets so short that only an equal set is
-similar (at 0.85, up to 5 words) are decided by that.  (4) Sets that share a prefix word are
-candidates if sizes allow it (length filter) and if enough words are left after
-the shared one (positional filter).  (5) Candidates are verified on all words,
-by their 64-bit hashes.
+Plan.  (1) Texts are split into words once: a table holds each line's sorted
+64-bit hashes, and all that follows reads it.  (2) Words are counted by
+``SLOTS`` cells of their hashes, which gives each a class of rarity, four to a
+doubling.  (3) Each line orders its words by class, then hash, and keeps the
+prefix without which no line that is similar enough can do.  (4) Equal sets
+become one, at the place of their first line; all others of them go.  Sets are
+numbered in order of place.  Those so short that only an equal set is similar
+(at 0.85, up to 5 words) are decided by that.  (5) Sets that share a prefix
+word are candidates if sizes allow it (length filter), if enough words are left
+after the shared one (positional filter) and if bitmaps of 64 bits do.
+(6) Candidates are verified on all hashes.
 
 Near-equal lines by the thousand share their prefix, and all pairs among them
 must not be made.  The sets of a posting of over ``LARGE`` are therefore first
 compared with ``LEADERS`` sets of that posting only, the earliest of each of as
 many hash classes; lines that match are decided and no longer look for a match.
-The rest then look at all earlier sets, so no match is lost.
 
-Everything is DataFrame functions.  The class table (``SLOTS`` bytes) is what
-reaches the driver.
-
-Edge cases: a null text has no lines.  A null document id comes first.  Rows
-that share an id share their places: a line number of that id stays if it stays
-for one of them.  An empty table gives no rows.  Other columns are left alone.
+Everything is DataFrame functions.  What reaches the driver is the class table,
+``SLOTS`` bytes in rows of ``CHUNK``.  What is broadcast are bitmaps that choose
+rows without a shuffle (``_among``), of at most ``2 ** MOST`` bits; beyond that
+more rows pass them than need to, and the joins that follow still decide.
+Postings are joined, and pairs verified, in ``ROUNDS`` parts by hash, each of
+which frees its shuffle, and tables go when their last reader has run.
+
+Edge cases: a null text has no lines.  A null document id comes first (and
+-2^63 with it).  Of rows that share an id, those with another text are apart,
+in the order of a hash of their texts; of rows equal in id and text one counts
+as the first, and all lines with a word of the others go.  An empty table gives
+no rows.  Other columns are left alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import key, words, written
+from quillon.llm.common import Scratch, key, partitions, words, written
 
 SLOTS = 1 << 19
-#: Of the slots, the share that words of a class may take at most.
-FILL = 2
-LARGE = 8
+CHUNK = 1 << 12
+LARGE = 256
 LEADERS = 4
-#: 64-bit words of the bitmaps by which pairs are told apart.
-WIDE = 8
+ROUNDS = 2
+#: Bits of bitmaps that choose rows: for each key, and at most (a power of 2).
+SHARE, MOST = 16, 28
+PLACE = ["id", "row", "line_no"]
 
 
 @dataclass(frozen=True)
@@ -69,46 +77,59 @@ class Similar:
         return F.ceil((n + m) * self.num / F.lit(float(self.num + self.den)) - 1e-9)
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_distinct(words(F.lower(line)))
-
-
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, line_no and line of every line of texts that are not null."""
-    return docs.select(key(id_col).alias("id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-
-
-def rarity_table(docs: DataFrame, text: str = "text", slots: int = SLOTS) -> bytes:
-    """A byte for each slot: 0, or the class (1 to 7, rising with frequency) of
-    the most frequent word of that slot.  A rare word that shares a slot with a
-    frequent one passes for it, which costs candidates and no matches."""
-    hashes = F.transform(words(F.lower(F.col(text))), lambda w: F.xxhash64(w))
-    counts = docs.select(F.explode(hashes).alias("h")).groupBy("h").count().where("count > 1")
-    counts = written(counts.select("h", F.floor(F.log2("count")).cast("int").alias("level")), "frequencies")
-    # At most 64 levels.  The floor is the level from which on words fit.
-    levels = sorted(((r.level, r["count"]) for r in counts.groupBy("level").count().collect()), reverse=True)
-    floor, room = 64, slots // FILL
-    for level, n in levels:
-        room -= n
-        if room < 0:
-            break
-        floor = level
-    top = max((x for x, _ in levels), default=0)
-    width = max(1, -(-(top - floor + 1) // 7))
-    h = F.col("h")
-    value = ((F.col("level") - floor) / width).cast("int") + 1
-    frequent = counts.where(F.col("level") >= floor).groupBy(h.bitwiseAND(slots - 1).cast("int").alias("slot")).agg(F.max(value).alias("v"))
+def _at(suffix: str = "") -> Column:
+    return F.struct(*[F.col(c + suffix).alias(c) for c in PLACE])
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id") -> bool:
+    """Whether rows share an id; then their texts tell them apart."""
+    return not docs.groupBy(key(id_col)).count().where("count > 1").isEmpty()
+
+
+def row_of(text: str, shared: bool) -> Column:
+    return F.xxhash64(text) if shared else F.lit(0).cast("long")
+
+
+def lines_of(docs: DataFrame, shared: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """id, row, line_no and line of every line of texts that are not null, with
+    a space for any white space."""
+    plain = F.when(F.col(text).rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
+    return docs.select(key(id_col).alias("id"), row_of(text, shared).alias("row"), F.posexplode(F.split(plain, "\n", -1)).alias("line_no", "line"))
+
+
+def word_sets(lines: DataFrame, min_tokens: int = 1) -> DataFrame:
+    """The lines' places and ``words``, the ascending hashes of distinct words."""
+    hashes = F.array_distinct(F.transform(F.split(F.lower("line"), " ", -1), lambda w: F.xxhash64(w)))
+    sets = F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))
+    return lines.select(*PLACE, sets.alias("words")).where(F.size("words") >= max(1, min_tokens))
+
+
+def rarity_table(sets: DataFrame, slots: int = SLOTS) -> bytes:
+    """A byte for each cell of hashes: its class, which rises by one each time
+    that the count of the cell's words rises by a fourth root of 2."""
+    cell = F.col("h").bitwiseAND(slots - 1).cast("int")
+    counts = sets.select(F.explode("words").alias("h")).groupBy(cell.alias("cell")).count()
+    # 32 doublings fit 127 classes; whatever is more frequent is of the last.
+    level = F.least(F.floor(4 * F.log2("count")).cast("int") + 1, F.lit(127))
+    pairs = counts.select((F.col("cell") / CHUNK).cast("int").alias("chunk"), F.struct((F.col("cell") % CHUNK).alias("i"), level.alias("v")).alias("e"))
+    # Characters stand for classes; cells without words are filled in below.
+    row = F.transform(F.sort_array(F.collect_list("e")), lambda e: F.concat(F.format_string("%03x", e["i"]), F.format_string("%02x", e["v"])))
     table = bytearray(slots)
-    for r in frequent.collect():
-        table[r.slot] = r.v
+    for r in pairs.groupBy("chunk").agg(F.array_join(row, "").alias("s")).collect():
+        raw = r.s
+        for j in range(0, len(raw), 5):
+            table[r.chunk * CHUNK + int(raw[j : j + 3], 16)] = int(raw[j + 3 : j + 5], 16)
     return bytes(table)
 
 
-def _rank(w: Column, table: bytes) -> Column:
+def _class(n: int) -> int:
+    return min(127, math.floor(4 * math.log2(n)) + 1)
+
+
+def _rank(h: Column, table: Column, slots: int) -> Column:
     """A long that rises with the class of frequency, then by hash."""
-    slot = F.xxhash64(w).bitwiseAND(len(table) - 1).cast("int")
-    level = F.ascii(F.substring(F.lit(table), slot + 1, F.lit(1)).cast("string"))
-    return level * (1 << 60) + F.shiftrightunsigned(F.xxhash64(w), 4)
+    level = F.get(table, h.bitwiseAND(slots - 1).cast("int")).cast("long")
+    return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
 
 def _bits(hashes: Column) -> Column:
@@ -117,30 +138,34 @@ def _bits(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))))
 
 
-def _of_slice(j: int) -> Callable[[Column], Column]:
-    return lambda x: F.shiftright(x, 6).bitwiseAND(WIDE - 1) == j
+def line_sets(sets: DataFrame, table: bytes, similar: Similar) -> DataFrame:
+    """The first place of each distinct set, with n, bits and prefix."""
+    classes = F.from_json(F.lit(str(list(table)).replace(" ", "")), "array<tinyint>")
+    ranks = F.sort_array(F.transform("words", lambda h: _rank(h, classes, len(table))))
+    n = F.size("words")
+    rows = sets.select(*PLACE, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), n.alias("n"), _bits(F.col("words")).alias("bits"), F.slice(ranks, 1, similar.prefix(n)).alias("prefix"))
+    first = rows.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "bits", "prefix"), _at()).alias("s"), F.min(_at()).alias("at"))
+    return first.select("at.*", "s.*")
 
 
-def line_sets(docs: DataFrame, table: bytes, similar: Similar, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, line_no, k1, k2 (the set's digest), n, bits and prefix of eligible lines."""
-    ranks = F.sort_array(F.array_distinct(F.transform(words(F.lower(F.col("line"))), lambda w: _rank(w, table))))
-    rows = lines_of(docs, id_col, text).select("id", "line_no", ranks.alias("r")).withColumn("n", F.size("r")).where(F.col("n") >= similar.min_tokens)
-    return rows.select("id", "line_no", F.xxhash64("r").alias("k1"), F.xxhash64(F.lit(1), "r").alias("k2"), "n", _bits(F.col("r")).alias("bits"), F.slice("r", 1, similar.prefix(F.col("n"))).alias("prefix"))
+def _numbered(sets: DataFrame) -> DataFrame:
+    """``sets`` with ``p``, a number that rises with their place."""
+    order = sets.repartitionByRange(partitions(sets.sparkSession), *PLACE).sortWithinPartitions(*PLACE)
+    return order.withColumn("p", F.monotonically_increasing_id())
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select("id", "line_no", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    return sets.select("p", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
 
 
-def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar) -> DataFrame:
+def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar, scratch: Scratch, rounds: int = 1) -> DataFrame:
     """Pairs (a, b), b the earlier, that the filters let through."""
-    a = later.select(F.col("id").alias("id_a"), F.col("line_no").alias("line_a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col("pos").alias("pos_a"), "word")
-    b = earlier.select(F.col("id").alias("id_b"), F.col("line_no").alias("line_b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col("pos").alias("pos_b"), F.col("word").alias("word_b"))
+    a, b = (x.select(*[F.col(c).alias(f"{c}_{k}") for c in ("p", "n", "bits", "pos", "word")]) for x, k in ((later, "a"), (earlier, "b")))
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     least = similar.overlap(F.col("n_a"), F.col("n_b"))
     fits = (
-        (F.col("word") == F.col("word_b"))
-        & ((F.col("id_b") < F.col("id_a")) | ((F.col("id_b") == F.col("id_a")) & (F.col("line_b") < F.col("line_a"))))
+        (F.col("word_a") == F.col("word_b"))
+        & (F.col("p_b") < F.col("p_a"))
         & (F.col("n_a") * similar.num <= F.col("n_b") * similar.den)
         & (F.col("n_b") * similar.num <= F.col("n_a") * similar.den)
         # True of similar sets at the first word that they share.
@@ -148,92 +173,98 @@ def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar) -> DataF
         # Each bit that differs is a word in one set alone.
         & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
     )
-    found = a.join(b, fits).select("id_a", "line_a", "id_b", "line_b").distinct()
-    return found.select(F.struct(F.col("id_a").alias("id"), F.col("line_a").alias("line_no")).alias("a"), F.struct(F.col("id_b").alias("id"), F.col("line_b").alias("line_no")).alias("b"))
-
-
-def _marks(places: DataFrame, slots: int = SLOTS) -> bytes:
-    """A table of seven bits a byte, set for the places (id, line_no)."""
-    h = F.pmod(F.xxhash64("id", "line_no"), F.lit(7 * slots))
-    bit = F.call_function("shiftleft", F.lit(1), (h % 7).cast("int"))
-    table = bytearray(slots)
-    for r in places.select(F.floor(h / 7).cast("int").alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect():
-        table[r.i] = r.b
-    return bytes(table)
-
-
-def _marked(table: bytes) -> Column:
-    h = F.pmod(F.xxhash64("id", "line_no"), F.lit(7 * len(table)))
-    byte = F.ascii(F.substring(F.lit(table), F.floor(h / 7).cast("int") + 1, F.lit(1)).cast("string"))
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (h % 7).cast("int"))) != 0
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, similar: Similar, id_col: str, text: str) -> DataFrame:
-    """The places a of pairs that are similar, by their words.
-
-    Lines are chosen by a bounded table of marks, so no text is shuffled; what
-    it lets through besides has no pair."""
-    places = pairs.select(F.explode(F.array("a", "b")).alias("at")).select("at.*").distinct()
-    asked = lines_of(docs, id_col, text).where(_marked(_marks(places)))
-    hashes = F.array_distinct(F.transform(words(F.lower(F.col("line"))), lambda w: F.xxhash64(w)))
-    # Rows that share an id and line number: any of their lines counts.
-    sets = written(asked.select(F.struct("id", "line_no").alias("at"), hashes.alias("w")).where(F.size("w") >= similar.min_tokens), "words")
-    # Wider bitmaps first: they are shorter than sets and tell most pairs apart.
-    bits = F.array(*[_bits(F.filter("w", _of_slice(j))) for j in range(WIDE)])
-    maps = sets.select("at", F.size("w").alias("n"), bits.alias("bits"))
-    a, b = (maps.select(F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    near = F.col("n_a") + F.col("n_b") - 2 * similar.overlap(F.col("n_a"), F.col("n_b"))
-    pairs = pairs.join(a, F.col("a") == F.col("at_a")).join(b, F.col("b") == F.col("at_b")).where(differ <= near).select("a", "b")
-    a = sets.select(F.col("at").alias("at_a"), F.col("w").alias("w_a"))
-    b = sets.select(F.col("at").alias("at_b"), F.col("w").alias("w_b"))
+    out = None
+    for i in range(rounds):
+        part = F.pmod(F.col("word_a"), F.lit(rounds)) == i, F.pmod(F.col("word_b"), F.lit(rounds)) == i
+        one = scratch.written(a.where(part[0]).join(b.where(part[1]), fits).select(F.col("p_a").alias("a"), F.col("p_b").alias("b")).distinct(), "pairs")
+        out = one if out is None else out.unionByName(one)
+    return out.distinct() if rounds > 1 else out
+
+
+#: Bits of one map of Spark's bitmap functions.
+MAP = 1 << 15
+
+
+def _among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose ``columns`` are among ``keys`` (written), and few others,
+    by a broadcast bitmap."""
+    width = 1 << min(MOST, max(15, math.ceil(math.log2(max(1, keys.count()) * SHARE))))
+    h = F.xxhash64(*columns).bitwiseAND(width - 1) + 1
+    maps = keys.groupBy(F.bitmap_bucket_number(h).alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("__bits"))
+    at = F.bitmap_bit_position(h).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col("__map")).where(is_set).drop("__map", "__bits")
+
+
+def _verified(words_of: DataFrame, sets: DataFrame, pairs: DataFrame, similar: Similar, scratch: Scratch) -> DataFrame:
+    """The sets a of pairs (a, b) that are similar, by all hashes of their words."""
+    numbers = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("p")).distinct(), "numbers")
+    places = scratch.written(_among(sets.select("p", _at().alias("at")), numbers, ["p"]), "places")
+    asked = _among(words_of, places.select("at.*"), PLACE).select(_at().alias("at"), "words")
+    asked = scratch.written(asked.join(places, "at").select("p", "words"), "asked", "zstd")
+    a, b = (asked.select(F.col("p").alias(x), F.col("words").alias(f"w_{x}")) for x in "ab")
     both = F.size(F.array_intersect("w_a", "w_b"))
     union = F.size("w_a") + F.size("w_b") - both
-    found = pairs.join(a, F.col("a") == F.col("at_a")).join(b, F.col("b") == F.col("at_b")).where(both * similar.den >= union * similar.num)
-    return found.select("a").distinct()
-
-
-def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id and line_no of eligible lines that stay; an id is as ``key`` gives it."""
-    table = rarity_table(docs, text)
-    lines = line_sets(docs, table, similar, id_col, text)
-    first = lines.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "bits", "prefix"), F.struct("id", "line_no")).alias("s"), F.min(F.struct("id", "line_no")).alias("at"))
-    sets = written(first.select("at.*", "s.*", "k1"), "sets")
-    joined = sets.where(~similar.by_equality(F.col("n")))
-    postings = _postings(joined)
-    hot = written(postings.groupBy("word").count().where(F.col("count") > LARGE).select("word"), "hot-words")
-    earlier = None
-    if not hot.isEmpty():
-        near = written(postings.join(hot, "word", "left_semi"), "hot-postings")
-        leader = near.groupBy("word", F.pmod(F.xxhash64("id", "line_no"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("id", "line_no", "n", "bits", "pos")).alias("l")).select("word", "l.*")
-        earlier = written(_verified(docs, written(_candidates(near, leader, similar), "leader-pairs"), similar, id_col, text), "decided")
-        looking = _postings(joined.join(earlier.select("a.*"), ["id", "line_no"], "left_anti").select("id", "line_no", "n", "bits", "prefix"))
-    else:
-        looking = postings
-    pairs = written(_candidates(looking, postings, similar), "pairs")
-    gone = _verified(docs, pairs, similar, id_col, text)
-    if earlier is not None:
-        gone = gone.unionByName(earlier)
-    return sets.select("id", "line_no").join(gone.select("a.*"), ["id", "line_no"], "left_anti")
+    found = None
+    for i in range(ROUNDS):
+        part = pairs.where(F.pmod(F.xxhash64("a"), F.lit(ROUNDS)) == i)
+        one = part.join(a, "a").join(b, "b").where(both * similar.den >= union * similar.num)
+        one = scratch.written(one.select(F.col("a").alias("p")).distinct(), "found")
+        found = one if found is None else found.unionByName(one)
+    scratch.drop(numbers, places, asked)
+    return found
+
+
+def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "doc_id", text: str = "text", shared: bool | None = None) -> DataFrame:
+    """id, row and ``kept``, the numbers of eligible lines that stay; an id is as
+    ``key`` gives it."""
+    shared = repeated(docs, id_col) if shared is None else shared
+    with Scratch(docs.sparkSession, "lines") as scratch:
+        put = scratch.written
+        words_of = put(word_sets(lines_of(docs, shared, id_col, text), similar.min_tokens), "words", "zstd")
+        sets = put(_numbered(line_sets(words_of, rarity_table(words_of), similar)), "sets")
+        joined = sets.where(~similar.by_equality(F.col("n")))
+        postings = looking = _postings(joined)
+        # A word's cell counts all lines that have it, so it is in no lower class.
+        frequent = F.shiftrightunsigned("word", 56) >= _class(LARGE)
+        hot = put(postings.where(frequent).groupBy("word").count().where(F.col("count") > LARGE).select("word"), "hot-words")
+        gone = []
+        if not hot.isEmpty():
+            near = put(_among(postings.where(frequent), hot, ["word"]), "hot-postings")
+            leader = near.groupBy("word", F.pmod(F.xxhash64("p"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("p", "n", "bits", "pos")).alias("l")).select("word", "l.*")
+            gone.append(_verified(words_of, sets, _candidates(near, leader, similar, scratch), similar, scratch))
+            scratch.drop(near)
+            looking = _postings(joined.join(gone[0], "p", "left_anti"))
+        gone.append(_verified(words_of, sets, _candidates(looking, postings, similar, scratch, ROUNDS), similar, scratch))
+        left = sets.select("p", *PLACE)
+        for x in gone:
+            left = left.join(x, "p", "left_anti")
+        return written(left.groupBy("id", "row").agg(F.sort_array(F.collect_list("line_no")).alias("kept")), "kept")
 
 
 def dedup_lines(docs: DataFrame, similar: Similar = Similar(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and the columns
     ``n_lines`` and ``removed`` (line numbers, ascending)."""
-    kept = written(kept_places(docs, similar, id_col, text).groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__kept")), "kept")
-    lines = F.split(F.col(text), "\n", -1)
-    marked = F.transform("__lines", lambda x, i: F.struct(i.alias("i"), x.alias("x"), ((F.size(_tokens(x)) >= similar.min_tokens) & ~F.array_contains(F.coalesce("__kept", F.array().cast("array<int>")), i)).alias("go")))
+    shared = repeated(docs, id_col)
+    kept = kept_places(docs, similar, id_col, text, shared).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("kept").alias("__kept"))
+    rows = docs.withColumns({"__key": key(id_col), "__of": row_of(text, shared)})
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__key", "__of").orderBy(F.lit(1))) if shared else F.lit(1))
+    none = F.array().cast("array<int>")
+    lines = F.coalesce(F.split(F.col(text), "\n", -1), F.array().cast("array<string>"))
+    every = F.when(F.size("__lines") > 0, F.sequence(F.lit(0), F.size("__lines") - 1)).otherwise(none)
+    line = lambda i: F.get("__lines", i)
+    if similar.min_tokens > 1:
+        able = F.filter("__every", lambda i: F.size(F.array_distinct(words(F.lower(line(i))))) >= similar.min_tokens)
+    else:
+        able = F.filter("__every", lambda i: F.ltrim(line(i), F.lit(" \t\x0b\x0c\r")) != "")
+    stays = F.when(F.col("__copy") == 1, F.coalesce("__kept", none)).otherwise(none)
     return (
-        docs.withColumn("__lines", lines)
-        .join(kept, key(id_col) == F.col("__id"), "left")
-        .withColumn("__marked", marked)
-        .withColumns(
-            {
-                text: F.when(F.col(text).isNotNull(), F.array_join(F.transform(F.filter("__marked", lambda m: ~m["go"]), lambda m: m["x"]), "\n")),
-                "n_lines": F.coalesce(F.size("__lines"), F.lit(0)).cast("long"),
-                "removed": F.transform(F.filter("__marked", lambda m: m["go"]), lambda m: m["i"]),
-            }
-        )
-        .withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .drop("__lines", "__id", "__kept", "__marked")
+        rows.join(kept.hint("shuffle_hash"), (F.col("__key") == F.col("__id")) & (F.col("__of") == F.col("__row")), "left")
+        .withColumn("__lines", lines)
+        .withColumn("__every", every)
+        .withColumn("removed", F.array_except(able, stays))
+        .withColumn("n_lines", F.size("__lines").cast("long"))
+        .withColumn(text, F.when(F.size("removed") > 0, F.array_join(F.transform(F.array_except("__every", "removed"), line), "\n")).otherwise(F.col(text)))
+        .drop("__key", "__of", "__copy", "__id", "__row", "__kept", "__lines", "__every")
     )

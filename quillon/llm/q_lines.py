@@ -30,7 +30,7 @@ WITH l AS (
                unnest(list_zip(range(1, len(string_split(text, chr(10))) + 1), string_split(text, chr(10)))) AS z
         FROM documents WHERE text IS NOT NULL), LATERAL (SELECT z[1] AS i, z[2] AS x) u
 ), e AS (
-  SELECT doc_id, i, w, len(w) AS n, row_number() OVER (ORDER BY doc_id, i) AS plc FROM l WHERE len(w) >= 5
+  SELECT doc_id, i, w, len(w) AS n, row_number() OVER (ORDER BY doc_id, i) AS plc FROM l WHERE len(w) >= 1
 ), s AS (
   SELECT min(plc) AS plc, w, any_value(n) AS n FROM e GROUP BY w
 ), t AS (

@@ -64,7 +64,10 @@ def test_hot_words(spark, monkeypatch):
 def test_repeated_rows_and_none(spark):
     rows = [(1, "one two three four five"), (1, "one two three four five"), (2, "one two three four five\nx")]
     got = sorted((r.doc_id, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [(1, "one two three four five"), (1, "one two three four five"), (2, "x")]
+    assert got == [(1, ""), (1, "one two three four five"), (2, "x")]
+    rows = [(1, "alpha beta gamma delta epsilon"), (5, "alpha beta gamma delta epsilon"), (5, "other words stay here"), (5, None), (None, "\n"), (None, "\n")]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.removed) for r in got) == [(0, "\n", []), (0, "\n", []), (1, rows[0][1], []), (5, "", []), (5, "", [0]), (5, rows[2][1], [])]
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
