@@ -28,7 +28,8 @@ Plan.
 
 A pair is dropped only if it cannot be linked or if its ends are in one
 component already, so no link between components is lost.  Sets are compared by
-64-bit hashes of shingles and known by a 64-bit digest.
+64-bit hashes of shingles and known by a 64-bit digest; sets that clash in that
+are found by a second one, and known by it.
 
 Edge cases: a null, empty or blank text has an empty set, linked with nothing;
 a text of fewer words than a shingle is one shingle.  Null ids sort before all
@@ -45,14 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import key, unkey, written
+from quillon.llm.common import Scratch, key, unkey, written
 from quillon.llm.shingles import overlap, shingle_set
 
 CELLS = 1 << 22
 CHUNK = 1 << 16
-#: 64-bit words of bitmaps in trees: in turns of best mates, and in the last one.
-WIDE, WIDER = 8, 24
-FINE = 64  # and of those by which pairs are told apart
+#: 64-bit words of bitmaps in trees in turns of best mates.
+WIDE = 8
+#: In the last turn, and of those by which pairs are told apart.
+FINE = 64
 LEAF = 16
 POSTING = 2048
 #: Turns in which sets are compared with a hub, and with their best mate by tree.
@@ -78,20 +80,24 @@ def _texts(batch: pa.RecordBatch) -> Iterator[memoryview | None]:
 
 
 def surveyed(docs: DataFrame, width: int) -> DataFrame:
-    """One pass: a row (id, n, m, set) for each document, where m counts the
-    shingles in the posted range, and rows (chunk, g, counts) with each task's
-    counts of shingles by cell, at most 255."""
+    """One pass: a row (id, n, m, set, other) for each document, where m counts
+    the shingles in the posted range and ``other`` is a second digest, and rows
+    (chunk, g, counts) with each task's counts of shingles by cell, at most 255.
+    Of a chunk, a task gives the cells that it has counted, or all if those are
+    many, so its rows are in proportion to its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        names = ["id", "n", "m", "set", "other", "chunk", "g", "counts"]
         total, held, size = np.zeros(CELLS, np.uint32), [], 0
         shift = np.uint64(64 - (CELLS.bit_length() - 1))
         for batch in batches:
-            codes, sizes, ranged = [], [], []
+            codes, others, sizes, ranged = [], [], [], []
             for t in _texts(batch):
                 s = shingle_set(t, width)
                 codes.append(_digest(s))
+                others.append(_digest(s, 1))
                 sizes.append(len(s))
                 ranged.append(_in_range(s))
                 held.append((s >> shift).astype(np.int64))
@@ -100,17 +106,40 @@ def surveyed(docs: DataFrame, width: int) -> DataFrame:
                     total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
                     held, size = [], 0
             n = len(codes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ranged, pa.int64()), pa.array(codes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["id", "n", "m", "set", "chunk", "g", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, ranged, codes, others)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if held:
             total += np.bincount(np.concatenate(held), minlength=CELLS).astype(np.uint32)
         # A count of 255 in one task is frequent in any case.
         small = np.minimum(total, 255).astype(np.uint8)
         group = TaskContext.get().partitionId() // 256
         for i in range(0, CELLS, CHUNK):
-            one = [pa.nulls(1, pa.int64())] * 4 + [pa.array([i], pa.int32()), pa.array([group], pa.int32()), pa.array([small[i : i + CHUNK].tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays(one, names=["id", "n", "m", "set", "chunk", "g", "counts"])
+            raw = _packed(small[i : i + CHUNK])
+            if raw:
+                one = [pa.nulls(1, pa.int64())] * 5 + [pa.array([i], pa.int32()), pa.array([group], pa.int32()), pa.array([raw], pa.binary())]
+                yield pa.RecordBatch.from_arrays(one, names=names)
 
-    return docs.mapInArrow(run, "id long, n long, m long, set long, chunk int, g int, counts binary")
+    return docs.mapInArrow(run, "id long, n long, m long, set long, other long, chunk int, g int, counts binary")
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts of a byte: the cells above 0 and their counts, or else all counts."""
+    at = np.flatnonzero(counts)
+    if not len(at):
+        return b""
+    if len(at) * 5 >= len(counts):
+        return b"A" + counts.tobytes()
+    return b"S" + at.astype("<u4").tobytes() + counts[at].tobytes()
+
+
+def _unpacked(raw: bytes, size: int) -> np.ndarray:
+    if raw[:1] == b"W":
+        return np.frombuffer(raw, "<u4", offset=1).astype(np.uint64)
+    if raw[:1] == b"A":
+        return np.frombuffer(raw, np.uint8, offset=1).astype(np.uint64)
+    n = (len(raw) - 1) // 5
+    out = np.zeros(size, np.uint64)
+    out[np.frombuffer(raw, "<u4", n, 1)] = np.frombuffer(raw, np.uint8, n, 1 + 4 * n)
+    return out
 
 
 def _in_range(s: np.ndarray) -> int:
@@ -127,30 +156,43 @@ def frequency_classes(survey: DataFrame) -> bytes:
         for batch in batches:
             for c, x in zip(batch.column(0), batch.column(2)):
                 chunk, raw = c.as_py(), x.as_py()
-                total += np.frombuffer(raw, np.uint8 if len(raw) == len(total) else "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "g", "counts"])
+                total += _unpacked(raw, len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([0], pa.int32()), pa.array([b"W" + np.minimum(total, 2**32 - 1).astype("<u4").tobytes()], pa.binary())], names=["chunk", "g", "counts"])
 
     schema = "chunk int, g int, counts binary"
     parts = survey.where("chunk IS NOT NULL").select("chunk", "g", "counts").groupBy("chunk", "g").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
     counts = np.zeros(CELLS, np.uint64)
     for r in parts.collect():
-        counts[r.chunk : r.chunk + CHUNK] = np.frombuffer(r.counts, "<u4")
+        counts[r.chunk : r.chunk + CHUNK] = _unpacked(bytes(r.counts), CHUNK)
     times = counts / max(4.0, 2 * float(counts.mean()))
     return np.where(times >= 1, np.minimum(np.log2(np.maximum(times, 1)).astype(np.uint8) + 1, 60), 0).astype(np.uint8).tobytes()
 
 
-def _digest(shingles: np.ndarray) -> int:
+def _digest(shingles: np.ndarray, seed: int = 0) -> int:
     import xxhash
 
-    x = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    x = xxhash.xxh3_64_intdigest(shingles.tobytes(), seed)
     return x - (1 << 64) if x >> 63 else x
 
 
+def _name(shingles: np.ndarray, clashes: frozenset[int]) -> int:
+    """What a set goes by: its digest, or where sets clash in that, the other."""
+    code = _digest(shingles)
+    return _digest(shingles, 1) if code in clashes else code
+
+
+def clashing(survey: DataFrame) -> frozenset[int]:
+    """Digests that different sets have, told by their other digests.  Among
+    10^10 sets some three are expected, so they fit the driver."""
+    both = survey.where("chunk IS NULL").groupBy("set").agg(F.min("other").alias("x"), F.max("other").alias("y"))
+    return frozenset(r.set for r in both.where("x <> y").select("set").collect())
+
+
 #: Digests that a task remembers, so that it posts copies once.
 REMEMBERED = 100_000
 
 
-def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int) -> DataFrame:
+def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """Rows (shingle, set, n) of prefixes and of the posted range; n is negative
     for shingles that are not of the prefix.  A set may come from several tasks."""
     held = docs.sparkSession.sparkContext.broadcast(classes)
@@ -170,7 +212,7 @@ def entries(docs: DataFrame, classes: bytes, num: int, den: int, width: int) ->
         for batch in batches:
             for t in _texts(batch):
                 s = shingle_set(t, width)
-                code = _digest(s)
+                code = _name(s, clashes)
                 if not len(s) or code in seen:
                     continue
                 if len(seen) >= REMEMBERED:
@@ -233,31 +275,35 @@ def shared_postings(posted: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "shingle long, set long, n long, low long, low_n long")
 
 
-#: Bits of the map that tells which documents' sets are asked for.
-ASKED = 1 << 24
+#: Bits of the map that tells which documents' sets are asked for: for each, and
+#: at least and at most (powers of 2).
+SHARE, LEAST, MOST = 16, 15, 28
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def whole_sets(docs: DataFrame, wanted: DataFrame, width: int, clashes: frozenset[int] = frozenset()) -> DataFrame:
     """set, n and shingles (bytes) of the documents ``wanted`` (id, set).
 
     A bitmap of bounded size goes to the tasks, so texts need no shuffle; what
-    it lets through besides has no partner in later joins."""
-    h = F.col("set").bitwiseXOR(F.col("id")).bitwiseAND(ASKED - 1) + 1  # buckets hold numbers from 1
+    it lets through besides has no partner in later joins.  Past its bound it
+    lets more through, and the table grows to that of all sets at most."""
+    asked_for = 1 << min(MOST, max(LEAST, (wanted.count() * SHARE).bit_length()))
+    h = F.col("set").bitwiseXOR(F.col("id")).bitwiseAND(asked_for - 1) + 1  # buckets hold numbers from 1
     maps = wanted.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bits"))
-    bits = bytearray(ASKED // 8)
+    bits = bytearray(asked_for // 8)
     for r in maps.collect():
         at = (r.bucket - 1) * (1 << 12)
         bits[at : at + (1 << 12)] = r.bits
     held = docs.sparkSession.sparkContext.broadcast(bytes(bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little")
+        asked = held.value
         for batch in batches:
             out, size = [], 0
             for i, t in zip(batch.column(0), _texts(batch)):
                 s = shingle_set(t, width)
-                code = _digest(s)
-                if not len(s) or not asked[(code ^ i.as_py()) & (ASKED - 1)]:
+                code = _name(s, clashes)
+                at = (code ^ i.as_py()) & (asked_for - 1)
+                if not len(s) or not asked[at >> 3] >> (at & 7) & 1:
                     continue
                 out.append((code, len(s), s.tobytes()))
                 size += len(s)
@@ -275,16 +321,10 @@ def _set_rows(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["set", "n", "shingles"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, fine: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of sets that are similar."""
-    sizes = sets.select("set", "n")
-    fit = (
-        pairs.join(sizes.select(F.col("set").alias("a"), F.col("n").alias("n_a")), "a")
-        .join(sizes.select(F.col("set").alias("b"), F.col("n").alias("n_b")), "b")
-        .where((F.col("n_a") * num <= F.col("n_b") * den) & (F.col("n_b") * num <= F.col("n_a") * den))
-        .select("a", "b")
-    )
-    fit = written(_close(fit, _with_bits(sets, FINE), num, den), "close")
+    # Sizes that do not go together leave no room for the overlap needed either.
+    fit = scratch.written(_close(pairs, fine, num, den), "close")
     left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("s_b"))
 
@@ -321,20 +361,20 @@ def _close(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """set and component (its least set) of every set with a link.
 
     Each round takes the least label around and then follows labels of labels,
     so long chains fold in few rounds.  Rounds are written, so each starts from
     files; nothing but the number of changes reaches the driver."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    edges = scratch.written(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
+    labels = scratch.written(edges.groupBy(F.col("a").alias("set")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     while True:
         around = edges.join(labels.select(F.col("set").alias("b"), "component"), "b").groupBy(F.col("a").alias("set")).agg(F.min("component").alias("near"))
         nearer = labels.join(around, "set").select("set", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        nearer = written(nearer, "nearer")
+        nearer = scratch.written(nearer, "nearer")
         jump = nearer.select(F.col("set").alias("next"), F.col("next").alias("further"))
-        after = written(nearer.join(jump, "next").select("set", F.least("next", "further").alias("component"), "was"), "labels")
+        after = scratch.written(nearer.join(jump, "next").select("set", F.least("next", "further").alias("component"), "was"), "labels")
         changed = after.where("component <> was").limit(1).count()
         labels = after.select("set", "component")
         if not changed:
@@ -531,47 +571,61 @@ def _stars(known: DataFrame, turn: int) -> DataFrame:
     return own.select(F.least("set", "hub.set").alias("a"), F.greatest("set", "hub.set").alias("b")).distinct()
 
 
-def link(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _telling(shared: DataFrame) -> DataFrame:
+    """``shared`` without postings of one set alone, and with one of those that
+    hold the same sets, as all shingles of a passage do that the same documents
+    share: others would give the same pairs again."""
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "set")).alias(f"x{i}") for i in (0, 1)]
+    kinds = shared.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high"), F.count(F.lit(1)).alias("c"), *same).where("low <> high")
+    chosen = kinds.groupBy("low", "high", "c", "x0", "x1").agg(F.min("shingle").alias("shingle")).select("shingle")
+    return shared.join(chosen, "shingle", "left_semi")
+
+
+def link(docs: DataFrame, num: int, den: int, width: int, id_col: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Documents (id as ``key`` gives it, n, set) and components of linked sets
     (set, component)."""
+    put = scratch.written
     plain = docs.select(key(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    survey = written(surveyed(plain, width), "survey")
-    documents = survey.where("chunk IS NULL").select("id", "n", "set")
-    met = written(shared_postings(entries(plain, frequency_classes(survey), num, den, width)).select("shingle", "set", "n"), "met")
+    survey = put(surveyed(plain, width), "survey")
+    clashes = clashing(survey)
+    name = F.when(F.col("set").isin(list(clashes)), F.col("other")).otherwise(F.col("set")) if clashes else F.col("set")
+    documents = survey.where("chunk IS NULL").select("id", "n", "m", name.alias("set"))
+    met = put(shared_postings(entries(plain, frequency_classes(survey), num, den, width, clashes)).select("shingle", "set", "n"), "met")
     # What of a set's posted range has company bounds what it shares with any.
     ranged = F.shiftrightunsigned("shingle", 32) < RANGE
     company = met.groupBy("set").agg(F.count(F.when(ranged, 1)).alias("s"))
-    first = survey.where("chunk IS NULL AND n > 0").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m"))
+    first = documents.where("n > 0").groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("m").alias("m"))
     able = company.join(first, "set").where((F.col("s") + F.col("n") - F.col("m")) * den >= F.col("n") * num).select("set")
-    shared = met.where("n > 0").join(written(able, "able"), "set", "left_semi")
-    several = shared.groupBy("shingle").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("shingle")
-    shared = written(shared.join(several, "shingle", "left_semi"), "shared")
-    first = first.select("set", "id")
-    wanted = first.join(shared.select("set").distinct(), "set", "left_semi")
-    sets = written(whole_sets(plain, wanted, width), "sets")
+    shared = put(_telling(put(met.where("n > 0").join(put(able, "able"), "set", "left_semi"), "able-postings")), "shared")
+    wanted = first.select("set", "id").join(shared.select("set").distinct(), "set", "left_semi")
+    # Copies of a set may pass the bitmap too, and each row of it would join.
+    sets = put(whole_sets(plain, put(wanted, "wanted"), width, clashes).dropDuplicates(["set"]), "sets", "zstd")
+    fine = put(_with_bits(sets, FINE), "fine")
     links = None
     labels = None
     for turn in range(TURNS):
         known = _open(shared, labels)
-        stars = written(_stars(known, turn), "stars")
-        found = written(verified(stars, sets, num, den), "links")
+        stars = put(_stars(known, turn), "stars")
+        found = put(verified(stars, sets, fine, num, den, scratch), "links")
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(links, scratch)
     for turn in range(BEST + 1):
-        open_postings = _open(shared, labels).join(_with_bits(sets, WIDE if turn < BEST else WIDER).drop("n"), "set")
-        candidates = written(tree_candidates(open_postings, num, den, best=turn < BEST), "candidates")
-        links = links.unionByName(written(verified(candidates, sets, num, den), "more-links"))
-        labels = components(links)
-    return documents, labels
+        last = turn == BEST
+        open_postings = _open(shared, labels).join((fine if last else put(_with_bits(sets, WIDE), "bits")).drop("n"), "set")
+        candidates = put(tree_candidates(open_postings, num, den, best=not last), "candidates")
+        links = links.unionByName(put(verified(candidates, sets, fine, num, den, scratch), "more-links"))
+        labels = components(links, scratch)
+    return documents.select("id", "n", "set"), labels
 
 
 def near_classes(docs: DataFrame, num: int = 3, den: int = 4, width: int = 5, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the least id that links reach) of
     every document."""
-    documents, labels = link(docs, num, den, width, id_col, text)
-    first = documents.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
-    named = first.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "component").select(F.col("set").alias("__set"), "component_id")
-    out = documents.join(names, (F.col("set") == F.col("__set")) & (F.col("n") > 0), "left")
-    return out.select(unkey(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), unkey(F.coalesce("component_id", "id")).alias("component_id"))
+    with Scratch(docs.sparkSession, "ngrams") as scratch:
+        documents, labels = link(docs, num, den, width, id_col, text, scratch)
+        first = documents.where("n > 0").groupBy("set").agg(F.min("id").alias("least"))
+        named = first.join(labels, "set", "left").withColumn("component", F.coalesce("component", "set"))
+        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+        names = named.join(least, "component").select(F.col("set").alias("__set"), "component_id")
+        out = documents.join(names, (F.col("set") == F.col("__set")) & (F.col("n") > 0), "left")
+        return written(out.select(unkey(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), unkey(F.coalesce("component_id", "id")).alias("component_id")), "classes")

@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import sigtree
+from quillon.llm.common import Scratch
 from quillon.llm.shingles import overlap, shingle_set
 
 
@@ -99,7 +100,8 @@ def test_against_all_pairs(spark, monkeypatch):
 
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
-    got = {r.set: r.component for r in sigtree.components(links).collect()}
+    with Scratch(spark, "test") as scratch:
+        got = {r.set: r.component for r in sigtree.components(links, scratch).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
