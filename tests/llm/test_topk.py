@@ -10,12 +10,35 @@ def test_bounds_hold():
         q, d = rng.integers(-64, 64, (20, dim)).astype(float), rng.integers(-64, 64, (30, dim)).astype(float)
         exact, last = q @ d.T, np.inf
         for s in topk.LEVELS:
-            bound = topk.statistics(q, s) @ topk.statistics(d, s).T
+            bound = np.hstack(topk.statistics(q, s)) @ np.hstack(topk.statistics(d, s)).T
             assert (bound >= exact - 1e-6).all()
             assert bound.sum() <= last + 1e-6  # finer levels are no looser
             last = bound.sum()
 
 
+def test_groups_bound_their_vectors():
+    rng = np.random.default_rng(4)
+    for dim in (1, 5, 16, 40):
+        q, parts = rng.normal(0, 3, (20, dim)), [rng.normal(rng.normal(), 2, (9, dim)) for _ in range(4)]
+        rows = []
+        for g, x in enumerate(parts):
+            mean, dev = topk.statistics(x, topk.LEVELS[-1])
+            rows.append((g, mean.min(0).tobytes(), mean.max(0).tobytes(), dev.max(0).tobytes()))
+        bounds = topk.Groups(rows).bounds(q)
+        for g, x in enumerate(parts):
+            assert (bounds[:, g] >= (q @ x.T).max(1) - 1e-9).all()
+
+
+def test_thresholds_leave_ties():
+    rng = np.random.default_rng(5)
+    q, x = rng.integers(-3, 3, (6, 8)).astype(float), rng.integers(-3, 3, (400, 8)).astype(float)
+    ids, names = np.arange(400), np.arange(6) * 50
+    for least in (np.full(6, -np.inf), np.sort(q @ x.T, axis=1)[:, -30]):
+        who, which, score = topk.block_top(names, q, least, ids, x, 10)
+        want = [(int(a), int(j), float(v)) for a, row in zip(names, q @ x.T) for v, j in sorted(((v, j) for j, v in enumerate(row) if j != a), key=lambda p: (-p[0], p[1]))[:10]]
+        assert list(zip(who.tolist(), which.tolist(), score.tolist())) == want
+
+
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 37)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
