@@ -1,3 +1,4 @@
+import gzip
 import random
 
 from pyspark.sql import functions as F
@@ -62,5 +63,50 @@ def test_against_brute_force(spark):
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
 
 
+def test_one_url_over_many_ranges(spark):
+    rows = [(i, "hot.com/", i, i % 37 != 0, {"ETag": "a"} if i % 74 else {"ETag": "b"}) for i in range(600)]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts long, revisit boolean, headers map<string,string>").repartition(5)
+    got = [(r.record_id, r.refers_to, r.status, {e.name: e.value for e in r.headers}) for r in revisits.resolve(df).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+
+
+def archive(records):
+    out = []
+    for named, block in records:
+        head = "".join(f"{k}: {v}\r\n" for k, v in named.items())
+        out.append(f"WARC/1.0\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n")
+    return out
+
+
+def test_archives(spark, tmp_path):
+    def record(kind, i, day, answer, **more):
+        named = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{i}>", "WARC-Target-URI": "http://Example.com/a", "WARC-Date": f"2020-01-0{day}T00:00:00Z"} | {k.replace("_", "-"): v for k, v in more.items()}
+        return named, answer
+
+    page = b'HTTP/1.1 200 OK\r\nETag: "x"\r\nX-Long: one\r\n  two\r\n\r\n<pre>\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n</pre>\x00\xff'
+    records = [
+        record("warcinfo", 0, 1, b"software: none"),
+        record("response", 1, 1, page, WARC_Payload_Digest="sha1:A"),
+        record("request", 2, 1, b"GET / HTTP/1.1\r\n\r\n"),
+        record("revisit", 3, 2, b'HTTP/1.1 304 Not Modified\r\nETag: W/"x"\r\nDate: now\r\n\r\n', WARC_Refers_To="<urn:1>"),
+        record("revisit", 4, 3, b"", WARC_Payload_Digest="sha1:A", WARC_Profile="identical-payload-digest"),
+        record("revisit", 5, 4, b"", WARC_Payload_Digest="sha1:B"),
+        ({"WARC-Type": "revisit", "WARC-Record-ID": "<urn:6>"}, b""),
+    ]
+    parts = archive(records)
+    (tmp_path / "plain.warc").write_bytes(b"".join(parts) + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\ncut short")
+    (tmp_path / "packed.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    for name in ("plain.warc", "packed.warc.gz"):
+        found = revisits.read_warc(spark, str(tmp_path / name))
+        rows = {r.record_id: r for r in found.collect()}
+        assert set(rows) == {f"<urn:{i}>" for i in (1, 3, 4, 5, 6)}
+        assert rows["<urn:1>"].headers["x-long"] == "one two" and rows["<urn:1>"].status == 200 and rows["<urn:1>"].length == len(page)
+        got = {r.record_id: (r.status, r.refers_to, {e.name: e.value for e in r.headers}) for r in revisits.resolve(found).collect()}
+        assert got["<urn:3>"] == ("resolved", "<urn:1>", {"date": "now", "etag": 'W/"x"', "x-long": "one two"})
+        assert got["<urn:4>"][:2] == ("resolved", "<urn:1>") and got["<urn:5>"][:2] == ("mismatch", None) and got["<urn:6>"][:2] == ("no_url", None)
+    assert revisits.read_warc(spark, str(tmp_path / "empty.warc")).collect() == []
+
+
 def test_no_rows(spark):
     assert revisits.resolve(spark.createDataFrame([], "record_id long, url string, ts long, revisit boolean, headers map<string,string>")).collect() == []
