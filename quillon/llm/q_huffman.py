@@ -10,8 +10,7 @@ from quillon.llm.huffman import roundtrip
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, back = roundtrip(table(spark, sf_dir, "documents"))
-    return back.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return roundtrip(table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 QUERIES = {"op10_token_files": op10_token_files}

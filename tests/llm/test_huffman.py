@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -49,23 +50,42 @@ def test_streams():
         assert (huffman.decode(payload, n, at, huffman.decoding_table(lengths)) == ids).all()
 
 
-def test_documents(spark, monkeypatch):
+def test_documents(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(huffman, "SEGMENT_IDS", 500)
     rng = random.Random(1)
     rows = [(i * 3 % 80, " ".join(rng.choice(["the", "of", "andere", "xyzzy"]) for _ in range(rng.randrange(0, 90)))) for i in range(80)]
     rows += [(80, None), (81, ""), (82, "word " * 3000), (None, "no id"), (83, "again"), (83, "again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit("clash")).repartition(3)
-    segments, lengths, back = huffman.roundtrip(df)
+    folder = str(tmp_path / "corpus")
+    huffman.write_corpus(df, folder)
     whole = Tokenizer.from_file(tokens.default_path())
     at, want = 0, []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = np.array(whole.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
-    got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in sorted(back.collect(), key=lambda r: r.start)]
+    # A reader has the folder alone, whatever the constants of its own time are.
+    with monkeypatch.context() as other:
+        other.setattr(huffman, "LIMIT", 12)
+        other.setattr(huffman, "STRIDE", 7)
+        back = huffman.read_corpus(spark.newSession(), folder)
+        got = [(r.doc_id, r.start, r.n_tokens, zlib.crc32(r.ids)) for r in sorted(back.collect(), key=lambda r: r.start)]
     assert got == want
-    assert segments.count() > 3
+    assert spark.read.parquet(f"{folder}/segments").count() > 3
+    head = huffman.read_header(spark, folder)
+    assert (head.documents, head.ids, head.tokenizer) == (len(rows), at, "word_bpe_49k.json")
+
+
+def test_segments_of_another_header(spark, tmp_path):
+    for name, text in (("a", "one two three"), ("b", "quite other words")):
+        huffman.write_corpus(spark.createDataFrame([(1, text)], "doc_id long, text string"), str(tmp_path / name))
+    (tmp_path / "b" / "header").rename(tmp_path / "b" / "was")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        huffman.read_corpus(spark, str(tmp_path / "b"))
+    (tmp_path / "a" / "header").rename(tmp_path / "b" / "header")
+    with pytest.raises(Exception, match="another header"):
+        huffman.read_corpus(spark, str(tmp_path / "b")).collect()
 
 
 def test_no_documents(spark):
-    assert huffman.roundtrip(spark.createDataFrame([], "doc_id long, text string"))[2].collect() == []
+    assert huffman.roundtrip(spark.createDataFrame([], "doc_id long, text string")).collect() == []
