@@ -156,8 +156,14 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text: str =
     rows = written(rows, "sizes")
     # Combined before the shuffle: a group of any size is one row from a task.
     groups = rows.groupBy("group").agg(F.min("id").alias("first"), F.sum("size").alias("group_size"), F.count("*").alias("copies"))
-    many = groups.where("copies > 1").select(F.col("group").alias("g"), "first", "group_size")
-    placed = rows.join(many, F.col("group") == F.col("g"), "left").select("id", "size", "crc", F.coalesce("first", "id").alias("first"), F.coalesce("group_size", "size").alias("group_size"), "group")
+    many = written(groups.where("copies > 1").select(F.col("group").alias("g"), "first", "group_size", "copies"), "groups")
+    # Groups of over a quarter of a partition's rows are fewer than four for each
+    # partition, so they can be broadcast; others do not fill one.
+    large = F.col("copies") * (4 * n) > rows.count()
+    met = rows.join(F.broadcast(many.where(large)), F.col("group") == F.col("g"), "left")
+    columns = ["id", "size", "crc", F.coalesce("first", "id").alias("first"), F.coalesce("group_size", "size").alias("group_size"), "group"]
+    others = met.where("g IS NULL").select("id", "size", "crc", "group").join(many.where(~large), F.col("group") == F.col("g"), "left")
+    placed = met.where("g IS NOT NULL").select(*columns).unionByName(others.select(*columns))
     # Groups whose smallest id is the same (null, or repeated with other texts) are told apart by a hash.
     placed = placed.withColumn("group", F.xxhash64("group"))
     # Ranges of (first, id) part even a group of copies over many tasks.  Its
