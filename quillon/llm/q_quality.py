@@ -15,12 +15,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), RISK).select(*COLUMNS)
 
 
-def _sql() -> str:
+#: A risk that few labels suffice for, so that cutoffs are found in small tables.
+WIDE = Risk(alpha=0.45, delta=0.5)
+
+
+def quality_rules_wide_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WIDE).select(*COLUMNS)
+
+
+def _sql(risk: Risk) -> str:
     """The same in DuckDB, by unnested windows and the binomial sum by lgamma."""
     rules = ", ".join(f"('{r}')" for r in RULES)
     grid = ", ".join(f"({c})" for c in GRID)
     score = "CASE r.rule " + " ".join(f"WHEN '{r}' THEN 1000 * {a} > c.cutoff * greatest({b}, 1)" for r, (a, b) in RULES.items()) + " END"
-    p = RISK.alpha / len(RULES)
+    p = risk.alpha / len(RULES)
     return f"""
 WITH d AS (
   SELECT doc_id, lang, coalesce(text, '') AS t FROM documents
@@ -56,7 +64,7 @@ WITH d AS (
   FROM k WHERE caught > k AND n > 0
 ), s AS (
   SELECT lang, rule, arg_max(cutoff, (caught - k) * 10000 + cutoff) AS cutoff FROM a
-  WHERE tail <= {RISK.delta!r} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM k)) * {len(RULES)}) GROUP BY lang, rule
+  WHERE tail <= {risk.delta!r} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM k)) * {len(RULES)}) GROUP BY lang, rule
 ), x AS (
   SELECT b.doc_id, bool_or({score.replace("r.rule", "s.rule").replace("c.cutoff", "s.cutoff")}) AS hit
   FROM b JOIN s ON b.lang IS NOT DISTINCT FROM s.lang GROUP BY b.doc_id
@@ -67,5 +75,5 @@ FROM b LEFT JOIN x ON b.doc_id = x.doc_id
 """
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-SQL = {"op9_quality_rules": _sql()}
+QUERIES = {"op9_quality_rules": op9_quality_rules, "quality_rules_wide_risk": quality_rules_wide_risk}
+SQL = {"op9_quality_rules": _sql(RISK), "quality_rules_wide_risk": _sql(WIDE)}

@@ -185,11 +185,11 @@ def select_cutoffs(scored: DataFrame, labels: DataFrame, risk: Risk = Risk(), id
         .agg(F.sum("__good").cast("long").alias("n_good"), *[v.alias(k) for k, v in sums.items()])
     )
     cells = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{c}_1").alias("k"), F.col(f"{r}_{c}_0").alias("caught")) for r in RULES for c in GRID])
-    strata = counts.agg(F.count("*").alias("n_strata"))
-    tests = F.col("n_strata") * len(RULES)
-    flat = counts.select("stratum", "n_good", F.explode(cells).alias("c")).select("stratum", "n_good", "c.*").join(F.broadcast(strata), F.lit(True))
+    counts = written(counts, "counts")
+    tests = max(1, counts.count()) * len(RULES)
+    flat = counts.select("stratum", "n_good", F.explode(cells).alias("c")).select("stratum", "n_good", "c.*")
     admissible = flat.where((F.col("caught") > F.col("k")) & (F.col("n_good") > 0)).where(
-        binomial_tail(F.col("n_good"), F.col("k"), risk.alpha / len(RULES)) <= risk.delta / tests
+        binomial_tail(F.col("n_good"), F.col("k"), risk.alpha / len(RULES)) <= F.lit(risk.delta / tests)
     )
     best = admissible.groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(F.col("caught") - F.col("k"), F.col("cutoff"))).alias("cutoff"))
     return best.groupBy("stratum").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rule", "cutoff")))).alias("cutoffs"))
