@@ -88,3 +88,34 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     # The row of id 2 that is like nothing stays although its namesake goes.
     want = [(1, a, "en", "r", 1), (2, b, "en", "s", 1), (None, c, "en", "s", 1), (None, d, "en", "s", 1), (8, "", "en", "s", 0), (8, "", "en", "s", 0), (9, None, "en", "s", 0)]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder[0]).collect() == []
+
+
+def test_packing_keeps_ids_and_takes_clashing_columns(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from quillon.llm import tokens
+
+    rows = [(1, "some words here"), (1, "some words here"), (2, None), (None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("start", "length", "sequence_id", "offset", "ids", "ids_crc32")})
+    out = corpus_pipeline.packing(spark, docs, "").collect()
+    whole = Tokenizer.from_file(tokens.default_path())
+    got = sorted((str(r.doc_id), np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in out)
+    assert got == sorted((str(i), whole.encode(t or "", add_special_tokens=False).ids + [1]) for i, t in rows)
+
+
+def test_repeated_rows_through_all_stages(spark, folder):
+    rng = random.Random(8)
+    a, b = words(rng, 120), words(rng, 120)
+    rows = [(1, a), (1, a), (2, a), (2, b), (None, b), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, folder[0]), name)
+    assert sorted((str(r.doc_id), r.text) for r in docs.collect()) == sorted([("1", a), ("None", b)])
