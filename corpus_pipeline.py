@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import key, table, words, written
+from quillon.llm.common import key, table, written
 from quillon.llm.lines import dedup_lines
 from quillon.llm.packing import pack_documents
 from quillon.llm.quality import quality_rules
@@ -31,7 +31,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like earlier lines go, and documents of which no word is left by that."""
     out = dedup_lines(_apart(docs))
-    emptied = (F.size("removed") > 0) & (F.size(words(F.col("text"))) == 0)
+    emptied = (F.size("removed") > 0) & ~F.col("text").rlike(WORD)
     return _counted(_back(out.where(~emptied), docs))
 
 
@@ -61,10 +61,12 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences, with their ids as a digest."""
-    return pack_documents(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    """Pieces of sequences, with their ids and a digest of them."""
+    return pack_documents(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
+#: A character of a word.
+WORD = r"[^\x20\x09-\x0D]"
 #: Columns that operators use; others step aside while one adds its own.
 USED = ("doc_id", "text", "lang")
 
