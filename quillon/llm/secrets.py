@@ -45,7 +45,9 @@ PATTERNS = {
 SHORTEST = 12
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-STATES = len(ALPHABET) + 1
+#: A character's state is its code less this; 0 is for all that are none.
+BASE = ord("+") - 1
+STATES = ord("z") - BASE + 1
 SPAN = "array<struct<s:int,k:int,e:int,kind:string>>"
 
 
@@ -64,24 +66,44 @@ UNIT = 256
 
 def _steps(token: Column) -> Column:
     """The transitions of a token, from its start on, as indexes into a table."""
-    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    code = lambda c: F.ascii(c) - BASE
+    codes = F.transform(F.split(token, ""), lambda c: F.when(code(c).between(1, STATES - 1), code(c)).otherwise(0))
     return F.transform(F.array(codes), lambda a: F.transform(a, lambda x, i: F.when(i > 0, F.get(a, i - 1) * STATES).otherwise(0) + x))[0]
 
 
+def _total(steps: Column, table: tuple[int, ...]) -> Column:
+    held = F.from_json(F.lit(json.dumps(table, separators=(",", ":"))), "array<int>")
+    return F.aggregate(steps, F.lit(0), lambda acc, i: acc + F.get(held, i))
+
+
+def _best(steps: Column, tables: tuple[tuple[int, ...], ...]) -> Column:
+    sums = [_total(steps, t) for t in tables]
+    return F.greatest(*sums) if len(sums) > 1 else sums[0]
+
+
 def ratio(token: Column, model: Markov) -> Column:
     """The log-likelihood ratio of a whole token."""
     if not model.random or not model.ordinary:
         return F.lit(0.0)
+    both = F.transform(F.array(_steps(token)), lambda steps: _best(steps, model.random) - _best(steps, model.ordinary))
+    return both[0] / F.lit(float(UNIT))
 
-    def total(steps: Column, table: Column) -> Column:
-        return F.aggregate(steps, F.lit(0), lambda acc, i: acc + F.get(table, i))
 
-    def best(steps: Column, tables: tuple[tuple[int, ...], ...]) -> Column:
-        sums = [total(steps, F.from_json(F.lit(json.dumps(t, separators=(",", ":"))), "array<int>")) for t in tables]
-        return F.greatest(*sums) if len(sums) > 1 else sums[0]
+def is_random(token: Column, model: Markov) -> Column:
+    """Whether a token's ratio is over the threshold.
 
-    both = F.transform(F.array(_steps(token)), lambda steps: best(steps, model.random) - best(steps, model.ordinary))
-    return both[0] / F.lit(float(UNIT))
+    No random model gives a transition more than the largest of its entries, so
+    the first ordinary model alone clears nearly all words; only the rest meet
+    all models."""
+    if not model.random or not model.ordinary:
+        return F.lit(False)
+    most, least = max(max(t) for t in model.random), math.floor(model.threshold * UNIT)
+
+    def judged(steps: Column) -> Column:
+        cleared = F.size(steps) * most - _total(steps, model.ordinary[0]) <= least
+        return F.when(cleared, False).otherwise(_best(steps, model.random) - _best(steps, model.ordinary) > model.threshold * UNIT)
+
+    return F.transform(F.array(_steps(token)), judged)[0]
 
 
 def train(samples: DataFrame, false: float = 0.0002, least: float = 15.0, smooth: float = 4.0, shortest: int = SHORTEST) -> Markov:
@@ -96,7 +118,9 @@ def train(samples: DataFrame, false: float = 0.0002, least: float = 15.0, smooth
     n: dict[tuple[bool, str], dict[int, int]] = {}
     for r in counts.collect():
         n.setdefault((r.random, r.kind), {})[r.step] = r["count"]
-    tables = {c: tuple(_log_transitions(n[k], smooth) for k in sorted(n) if k[0] is c) for c in (True, False)}
+    # The model of most transitions comes first, as it clears most.
+    kinds = sorted(n, key=lambda k: (-sum(n[k].values()), k))
+    tables = {c: tuple(_log_transitions(n[k], smooth) for k in kinds if k[0] is c) for c in (True, False)}
     model = Markov(tables[True], tables[False], least)
     scored = tokens.where(held & ~F.col("random") & (F.length("token") >= shortest)).withColumn("r", ratio(F.col("token"), model))
     worst = scored.groupBy("kind").agg(F.percentile("r", F.lit(1 - false)).alias("r")).agg(F.max("r")).first()[0]
@@ -135,7 +159,7 @@ RANDOM = {
 }
 
 
-def random_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
+def random_samples(spark: SparkSession, n: int = 2000) -> DataFrame:
     """Labelled random strings over several alphabets, ``n`` of each, made from
     digests of running numbers; and hexadecimal ones."""
     name = F.concat(F.lit("sample "), F.col("id").cast("string"))
@@ -148,7 +172,7 @@ def random_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return rows.select(F.expr("substring(m.t, 1, n)").alias("token"), F.lit(True).alias("random"), "m.kind", "m.held")
 
 
-def shape_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
+def shape_samples(spark: SparkSession, n: int = 1500) -> DataFrame:
     """Labelled ordinary identifiers that are no words: dates, times, telephone
     and running numbers, UUIDs, versions, rules of one character."""
     h = lambda k: F.xxhash64(F.lit(k), "id")
@@ -187,7 +211,7 @@ def shape_samples(spark: SparkSession, n: int = 3000) -> DataFrame:
     return spark.range(n).select(F.explode(F.array(*rows)).alias("m")).select("m.token", F.lit(False).alias("random"), "m.kind", "m.held")
 
 
-def ordinary_samples(docs: DataFrame, most: int = 2000, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def ordinary_samples(docs: DataFrame, most: int = 500, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Labelled ordinary identifiers of words: those of the ``most`` distinct
     documents whose ids and texts hash lowest (the bound on this sample), and
     joined ones: snake, camel and kebab case, paths, capitals, with numbers.
@@ -260,7 +284,11 @@ def with_spans(docs: DataFrame, model: Markov, text: str = "text") -> DataFrame:
     (s start, k rank of kind, e end, kind), by start; places are code points."""
     t = F.coalesce(F.col(text), F.lit(""))
     base = F.concat(*[_places(t, p, kind, rank) for rank, (kind, p) in enumerate(PATTERNS.items())])
-    docs = docs.withColumn("base_spans", F.array_sort(base)).withColumn("__runs", _places(t, CANDIDATE, "markov", len(PATTERNS)))
+    # Without base spans, pieces are whole runs: only texts with a random one
+    # need the places of their runs.
+    asked = (F.size("base_spans") > 0) | F.exists(F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)), lambda x: is_random(x, model))
+    runs = F.when(asked, _places(t, CANDIDATE, "markov", len(PATTERNS))).otherwise(F.array().cast(SPAN))
+    docs = docs.withColumn("base_spans", F.array_sort(base)).withColumn("__runs", runs)
 
     def span(s: Column, e: Column) -> Column:
         return F.struct(s.alias("s"), F.lit(len(PATTERNS)).alias("k"), e.alias("e"), F.lit("markov").alias("kind"))
@@ -276,7 +304,7 @@ def with_spans(docs: DataFrame, model: Markov, text: str = "text") -> DataFrame:
         return F.aggregate(over, start, step, lambda acc: F.concat(acc["out"], F.array(span(acc["at"], x["e"]))))
 
     def random(x: Column) -> Column:
-        return ratio(F.substring(t, x["s"] + 1, x["e"] - x["s"]), model) > model.threshold
+        return is_random(F.substring(t, x["s"] + 1, x["e"] - x["s"]), model)
 
     left = F.filter(F.flatten(F.transform("__runs", pieces)), lambda x: x["e"] - x["s"] >= SHORTEST)
     added = F.filter(left, random)

@@ -101,7 +101,9 @@ UNSEEN = {
 
 def flagged(spark, model, tokens):
     df = spark.createDataFrame(list(enumerate(tokens)), "i long, token string").repartition(4)
-    return {r.i for r in df.select("i", (secrets.ratio(F.col("token"), model) > model.threshold).alias("f")).where("f").collect()}
+    rows = df.select("i", (secrets.ratio(F.col("token"), model) > model.threshold).alias("f"), secrets.is_random(F.col("token"), model).alias("g")).collect()
+    assert all(r.f == r.g for r in rows)
+    return {r.i for r in rows if r.f}
 
 
 def test_recall_of_unseen_generators(spark, model):
