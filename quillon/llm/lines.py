@@ -245,7 +245,8 @@ def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
 
 def dedup_lines(docs: DataFrame, similar: Similar = Similar(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with ``text`` without the lines that go, and the columns
-    ``n_lines`` and ``removed`` (line numbers, ascending)."""
+    ``n_lines``, ``removed`` (line numbers, ascending) and ``n_left``, how many
+    lines of those that could go are left."""
     shared = repeated(docs, id_col)
     kept = kept_places(docs, similar, id_col, text, shared).select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("kept").alias("__kept"))
     rows = docs.withColumns({"__key": key(id_col), "__of": row_of(text, shared)})
@@ -263,6 +264,7 @@ def dedup_lines(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
         rows.join(kept.hint("shuffle_hash"), (F.col("__key") == F.col("__id")) & (F.col("__of") == F.col("__row")), "left")
         .withColumn("__lines", lines)
         .withColumn("__every", every)
+        .withColumn("n_left", F.size(stays).cast("long"))
         .withColumn("removed", F.array_except(able, stays))
         .withColumn("n_lines", F.size("__lines").cast("long"))
         .withColumn(text, F.when(F.size("removed") > 0, F.array_join(F.transform(F.array_except("__every", "removed"), line), "\n")).otherwise(F.col(text)))
