@@ -30,9 +30,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines like earlier lines go, and documents of which no word is left by that."""
-    out = dedup_lines(_apart(docs))
-    emptied = (F.size("removed") > 0) & ~F.col("text").rlike(WORD)
-    return _counted(_back(out.where(~emptied), docs))
+    # Of counts alone: a filter on the new text would have it made once more.
+    out = dedup_lines(_apart(docs).withColumn("__had", F.coalesce(F.col("text").rlike(WORD), F.lit(False))))
+    return _counted(_back(out.where(~F.col("__had") | (F.col("n_left") > 0)), docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
