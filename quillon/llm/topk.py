@@ -42,6 +42,7 @@ VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
 GROUP = 1 << 16
 GROUPS = 1 << 14
+SMALL = 1 << 10
 #: Of the exact products of a block, the share from which on a whole product of
 #: matrices is less work than one for each survivor.
 DENSE = 0.02
@@ -271,8 +272,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     with Scratch(spark, "top-k") as scratch:
         rows = scratch.written(coded(vectors), "vectors")
         n = rows.count()
-        # Twice as many groups as tasks at once where there are few vectors.
-        groups = min(GROUPS, max(2 * partitions(spark), -(-n // GROUP)))
+        # Where there are few vectors, twice as many groups as tasks at once, but
+        # none so small that its k best make a poor threshold.
+        groups = min(GROUPS, max(1, -(-n // GROUP), min(2 * partitions(spark), n // SMALL)))
         blocks = scratch.written(grouped(rows, groups), "blocks")
         stats = group_statistics(blocks)
         # Queries of a block are alike, and go to the same groups.

@@ -42,6 +42,7 @@ def test_thresholds_leave_ties():
 def test_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "VECTOR_BLOCK", 37)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "SMALL", 20)
     rng = np.random.default_rng(2)
     centres = rng.normal(0, 1, (5, 24))
     rows = [(i, [float(x) for x in (centres[i % 5] + rng.normal(0, 0.3, 24))]) for i in range(200)]
