@@ -18,7 +18,10 @@ Groups are keys of the join, so there are as many tasks' worth of keys as the
 data ask for, and memory is bounded by a block of queries and one of vectors.
 A group has ``GROUP`` vectors at most, or more once there would be over
 ``GROUPS`` groups: their statistics (400 bytes each) go to the driver and to
-all tasks.
+all tasks.  Nothing else does: blocks are met by a sort-merge join whatever
+their size is taken for, as tables of vectors may be small on disk and large in
+memory.  Queries go on in turns by their home, so that what is sent at once is
+in proportion to the table.  Whole numbers are kept in the fewest bytes.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components
 take no part, nor do rows with a null id.  Vectors of different lengths are not
@@ -28,6 +31,7 @@ Query rows that share an id are ranked as one.  An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +50,10 @@ SMALL = 1 << 10
 #: Of the exact products of a block, the share from which on a whole product of
 #: matrices is less work than one for each survivor.
 DENSE = 0.02
+#: Queries of a block by which that share is told, and of vectors 64 times as many.
+TRIED = 8
+#: Vectors that are sent in a turn, as a multiple of the table's.
+SENT = 2
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -59,7 +67,7 @@ def statistics(data: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     edges = segments(data.shape[1], n)
     means, deviations = [], []
     for a, b in zip(edges, edges[1:]):
-        part, w = data[:, a:b], np.sqrt(b - a)
+        part, w = data[:, a:b].astype(np.float64), np.sqrt(b - a)
         mean = part.mean(1)
         means.append(w * mean)
         deviations.append(w * np.sqrt(((part - mean[:, None]) ** 2).mean(1)))
@@ -89,6 +97,22 @@ def _rows(batch: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.
         yield int(dim), rows, flat.reshape(-1, dim)
 
 
+def packed(data: np.ndarray) -> bytes:
+    """Numbers in the fewest bytes each that hold them all exactly."""
+    top = np.abs(data).max(initial=0)
+    for kind in ("<i1", "<i2", "<i4"):
+        if top <= np.iinfo(kind).max:
+            small = data.astype(kind)
+            if (small == data).all():
+                return small.tobytes()
+    return data.astype("<f8").tobytes()
+
+
+def unpacked(raw: pa.Buffer, rows: int, dim: int) -> np.ndarray:
+    kind = {1: "<i1", 2: "<i2", 4: "<i4", 8: "<f8"}[len(raw) // (rows * dim)]
+    return np.frombuffer(raw, kind).reshape(rows, dim)
+
+
 def coded(vectors: DataFrame) -> DataFrame:
     """``vectors`` (id, v) with their length and code."""
 
@@ -120,7 +144,7 @@ def grouped(vectors: DataFrame, groups: int) -> DataFrame:
                 rows, data = np.split(data, [VECTOR_BLOCK])
                 mean, deviation = statistics(rows, LEVELS[-1])
                 ends = [x.astype("<f8").tobytes() for x in (mean.min(0), mean.max(0), deviation.max(0))]
-                values = [dim, group, part.astype("<i8").tobytes(), rows.astype("<f8").tobytes(), *ends]
+                values = [dim, group, part.astype("<i8").tobytes(), packed(rows), *ends]
                 types = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["dim", "grp", "ids", "data", "low", "high", "dev"])
             if len(ids):
@@ -203,7 +227,7 @@ def sent(queries: DataFrame, groups: dict[int, Groups], first: bool) -> DataFram
                         goes = ~goes & (stats.bounds(q) >= (t[own] - _slack(t[own], q))[:, None])
                     for g in np.flatnonzero(goes.any(0)):
                         i = np.flatnonzero(goes[:, g])
-                        values = [dim, int(stats.number[g]), ids[own[i]].astype("<i8").tobytes(), q[i].astype("<f8").tobytes(), t[own[i]].astype("<f8").tobytes()]
+                        values = [dim, int(stats.number[g]), ids[own[i]].astype("<i8").tobytes(), packed(q[i]), t[own[i]].astype("<f8").tobytes()]
                         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, [pa.int32(), pa.int32(), *[pa.binary()] * 3])], names=names)
 
     return queries.select("id", "v", "home", "t").mapInArrow(run, "dim int, grp int, q_ids binary, q_data binary, q_t binary")
@@ -211,36 +235,37 @@ def sent(queries: DataFrame, groups: dict[int, Groups], first: bool) -> DataFram
 
 def _slack(t: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Room for the rounding of bounds; exact products of integers are not rounded."""
-    return 1e-9 * (1 + np.where(np.isfinite(t), np.abs(t), 0) + np.sqrt((queries**2).sum(1)) * 64)
+    return 1e-9 * (1 + np.where(np.isfinite(t), np.abs(t), 0) + np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * 64)
 
 
 def block_top(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query ids, ids and products of the k best of a block for each query, of
     those that reach the query's threshold ``least``."""
-    bound = np.hstack(statistics(queries, LEVELS[0])) @ np.hstack(statistics(data, LEVELS[0])).T
-    own = query_ids[:, None] == ids
-    bound[own] = -np.inf
     open_ = np.flatnonzero(np.isneginf(least))
     if len(open_) and len(ids) > k:
         # The k of best coarse bound set a first threshold where there is none.
-        seed = np.argpartition(-bound[open_], k - 1, axis=1)[:, :k]
-        exact = np.einsum("qd,qkd->qk", queries[open_], data[seed])
+        bound = np.hstack(statistics(queries[open_], LEVELS[0])) @ np.hstack(statistics(data, LEVELS[0])).T
+        bound[query_ids[open_][:, None] == ids] = -np.inf
+        seed = np.argpartition(-bound, k - 1, axis=1)[:, :k]
+        exact = np.einsum("qd,qkd->qk", queries[open_].astype(np.float64), data[seed].astype(np.float64))
         least = least.copy()
-        least[open_] = np.where(np.isneginf(np.take_along_axis(bound[open_], seed, 1)).any(1), -np.inf, exact.min(1))
+        least[open_] = np.where(np.isneginf(np.take_along_axis(bound, seed, 1)).any(1), -np.inf, exact.min(1))
     least = least - _slack(least, queries)
-    alive = (bound >= least[:, None]) & ~own
-    for level in LEVELS[1:]:
-        i, j = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
-        if not len(i):
-            break
-        finer = np.hstack(statistics(queries[i], level)) @ np.hstack(statistics(data[j], level)).T
-        alive[np.ix_(i, j)] &= finer >= least[i][:, None]
-    i, j = np.nonzero(alive)
-    if len(i) > DENSE * alive.size:
-        scores = (queries @ data.T)[i, j]
+    some, few = (np.arange(0, n, -(-n // most)) for n, most in ((len(queries), TRIED), (len(ids), 64 * TRIED)))
+    bound = np.hstack(statistics(queries[some], LEVELS[-1])) @ np.hstack(statistics(data[few], LEVELS[-1])).T
+    if (bound >= least[some][:, None]).mean() > DENSE:
+        i, j, scores = _reaching(query_ids, queries, least, ids, data, k)
     else:
+        queries, data = queries.astype(np.float64), data.astype(np.float64)
+        alive = np.ones((len(queries), len(ids)), bool)
+        for level in LEVELS:
+            i, j = np.flatnonzero(alive.any(1)), np.flatnonzero(alive.any(0))
+            if not len(i):
+                break
+            alive[np.ix_(i, j)] &= np.hstack(statistics(queries[i], level)) @ np.hstack(statistics(data[j], level)).T >= least[i][:, None]
+        i, j = np.nonzero(alive)
         scores = np.concatenate([np.empty(0), *(np.einsum("nd,nd->n", queries[i[a : a + 65536]], data[j[a : a + 65536]]) for a in range(0, len(i), 65536))])
-    good = scores >= least[i]
+    good = (scores >= least[i]) & (query_ids[i] != ids[j])
     i, j, scores = i[good], j[good], scores[good]
     order = np.lexsort((ids[j], -scores, i))
     i, j, scores = i[order], j[order], scores[order]
@@ -249,6 +274,26 @@ def block_top(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, ids
     return query_ids[i[best]], ids[j[best]], scores[best]
 
 
+def _reaching(query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of both and their products, of those that reach ``least`` and, where
+    these are many, the k-th best of their row."""
+    whole = all(x.dtype.kind == "i" or not (x % 1).any() for x in (queries, data))
+    most = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * data.shape[1]
+    if whole and most < 1 << 24:
+        # All sums on the way are whole numbers that a float of 32 bits holds.
+        products = queries.astype(np.float32) @ data.astype(np.float32).T
+        least = np.clip(np.ceil(least), -(1 << 24), 1 << 24).astype(np.float32)
+    else:
+        products = queries.astype(np.float64) @ data.astype(np.float64).T
+    good = products >= least[:, None]
+    if len(ids) > k and np.count_nonzero(good) > 8 * k * len(good):
+        products[query_ids[:, None] == ids] = -np.inf
+        best = np.partition(products, len(ids) - k, axis=1)[:, len(ids) - k]
+        good = products >= np.maximum(least, best)[:, None]
+    i, j = np.nonzero(good)
+    return i, j, products[i, j].astype(np.float64)
+
+
 def met(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id and score of the best of each block for each query sent to it."""
 
@@ -256,12 +301,17 @@ def met(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 dim = batch.column(0)[row].as_py()
-                q_ids, q, t, ids, data = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in zip(range(1, 6), ("<i8", "<f8", "<f8", "<i8", "<f8")))
-                found = block_top(q_ids, q.reshape(-1, dim), t, ids, data.reshape(-1, dim), k)
+                q_ids, t, ids = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in ((1, "<i8"), (3, "<f8"), (4, "<i8")))
+                q, data = (unpacked(batch.column(c)[row].as_buffer(), len(of), dim) for c, of in ((2, q_ids), (5, ids)))
+                found = block_top(q_ids, q, t, ids, data, k)
                 if len(found[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    pairs = asked.join(blocks.select("dim", "grp", "ids", "data"), ["dim", "grp"])
+    # Else blocks that are taken for small would go through the driver.
+    # The number of parts is given, or small ones with much work would be joined.
+    parts = 2 * partitions(asked.sparkSession)
+    left, right = (x.repartition(parts, "dim", "grp").hint("merge") for x in (asked, blocks.select("dim", "grp", "ids", "data")))
+    pairs = left.join(right, ["dim", "grp"])
     return pairs.select("dim", "q_ids", "q_data", "q_t", "ids", "data").mapInArrow(run, FOUND)
 
 
@@ -284,7 +334,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         least = seeds.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).select("query_id", F.get("s", F.lit(k - 1)).alias("least"))
         known = asked.join(least, F.col("id") == F.col("query_id"), "left").select("id", "v", "home", F.coalesce("least", F.lit(float("-inf"))).alias("t"))
         known = scratch.written(known.repartition(partitions(spark), "home").sortWithinPartitions("home"), "thresholds")
-        found = met(sent(known, stats, False), blocks, k).unionByName(seeds)
+        turns = max(1, math.ceil(known.count() * groups / (SENT * max(1, n))))
+        found = seeds
+        for turn in range(turns):
+            own = known.where(F.pmod("home", F.lit(turns)) == turn)
+            found = found.unionByName(scratch.written(met(sent(own, stats, False), blocks, k), "found"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return written(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long")), "top-k")
 

@@ -61,6 +61,48 @@ def test_against_brute_force(spark, monkeypatch):
     assert len([g for g in got if g[0] == 320]) == 1
 
 
+def test_numbers_are_packed_exactly():
+    rng = np.random.default_rng(6)
+    for data, width in ((rng.integers(-127, 128, (5, 3)), 1), (rng.integers(-300, 300, (5, 3)) + 256, 2), (np.full((5, 3), 1 << 20), 4), (np.full((5, 3), 0.5), 8), (np.full((5, 3), 2.0**40), 8)):
+        raw = topk.packed(data.astype(float))
+        assert len(raw) == 15 * width and (topk.unpacked(raw, 5, 3) == data).all()
+
+
+def test_dense_blocks_and_repeated_ids():
+    rng = np.random.default_rng(7)
+    for top in (60, 100_000):  # products that 32 bits hold, and others
+        q, x = rng.integers(-top, top, (9, 16)), rng.integers(-top, top, (700, 16))
+        x[300:340] = x[0]
+        ids, names = np.arange(700) // 2, np.arange(9) * 10
+        who, which, score = topk.block_top(names, q, np.full(9, -np.inf), ids, x, 5)
+        want = []
+        for a, row in zip(names, q @ x.T):
+            want += [(int(a), int(j), float(v)) for v, j in sorted(((v, j) for v, j in zip(row, ids) if j != a), key=lambda p: (-p[0], p[1]))[:5]]
+        assert list(zip(who.tolist(), which.tolist(), score.tolist())) == want
+
+
+def test_no_block_goes_through_the_driver(spark):
+    # Copies are small on disk, and as queries to every group large in memory.
+    blocks = spark.range(8).selectExpr("1 dim", "cast(id as int) grp", "binary('') ids", "binary('') data")
+    asked = spark.range(8).selectExpr("1 dim", "cast(id as int) grp", "binary('') q_ids", "binary('') q_data", "binary('') q_t")
+    assert "Broadcast" not in topk.met(asked, blocks, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_go_in_turns(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.integers(-50, 50, 8)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    monkeypatch.setattr(topk, "SMALL", 20)
+    monkeypatch.setattr(topk, "SENT", 0.01)
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df, df.where("id % 20 = 0"), 4).collect())
+    x = np.array([v for _, v in rows])
+    want = []
+    for a in range(0, 300, 20):
+        best = sorted((-int(x[a] @ x[j]), j) for j in range(300) if j != a)[:4]
+        want += [(a, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == want
+
+
 def test_no_rows(spark):
     vectors = spark.createDataFrame([], "id long, v array<double>")
     assert topk.top_k(vectors, vectors, 5).collect() == []
