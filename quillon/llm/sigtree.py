@@ -161,11 +161,20 @@ def frequency_classes(survey: DataFrame) -> bytes:
 
     schema = "chunk int, g int, counts binary"
     parts = survey.where("chunk IS NOT NULL").select("chunk", "g", "counts").groupBy("chunk", "g").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
-    counts = np.zeros(CELLS, np.uint64)
-    for r in parts.collect():
-        counts[r.chunk : r.chunk + CHUNK] = _unpacked(bytes(r.counts), CHUNK)
-    times = counts / max(4.0, 2 * float(counts.mean()))
-    return np.where(times >= 1, np.minimum(np.log2(np.maximum(times, 1)).astype(np.uint8) + 1, 60), 0).astype(np.uint8).tobytes()
+    return levels({r.chunk: bytes(r.counts) for r in parts.collect()})
+
+
+def levels(chunks: dict[int, bytes]) -> bytes:
+    """The classes of packed counts by the first cell of their chunk, chunk by
+    chunk, so that the driver holds little more than the counts."""
+    total = sum(int(_unpacked(raw, CHUNK).sum()) for raw in chunks.values())
+    unit = max(4.0, 2 * (total / CELLS))
+    out = np.zeros(CELLS, np.uint8)
+    for at, raw in chunks.items():
+        times = _unpacked(raw, CHUNK) / unit
+        found = np.where(times >= 1, np.minimum(np.log2(np.maximum(times, 1)).astype(np.uint8) + 1, 60), 0)
+        out[at : at + CHUNK] = found[: CELLS - at]
+    return out.tobytes()
 
 
 def _digest(shingles: np.ndarray, seed: int = 0) -> int:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -121,3 +122,17 @@ def test_shared_postings(spark):
         for h, s in rows:
             by.setdefault(h, set()).add(s)
         assert got == sorted((h, s, 10 * s, min(ss), 10 * min(ss)) for h, ss in by.items() if len(ss) > 1 for s in ss)
+
+
+def test_classes_take_little_of_the_driver():
+    rng = np.random.default_rng(3)
+    counts = np.minimum(rng.pareto(0.5, sigtree.CELLS) * 3, 2**32 - 1).astype(np.uint32)
+    chunks = {i: b"W" + counts[i : i + sigtree.CHUNK].astype("<u4").tobytes() for i in range(0, sigtree.CELLS, sigtree.CHUNK)}
+    tracemalloc.start()
+    got = sigtree.levels(chunks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    times = counts / max(4.0, 2 * float(counts.mean(dtype=float)))
+    want = np.where(times >= 1, np.minimum(np.log2(np.maximum(times, 1)).astype(np.uint8) + 1, 60), 0).astype(np.uint8)
+    assert got == want.tobytes() and peak < 16 << 20
+    assert sigtree.levels({}) == bytes(sigtree.CELLS)
