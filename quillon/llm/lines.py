@@ -185,16 +185,30 @@ def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar, scratch:
 MAP = 1 << 15
 
 
-def _among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows whose ``columns`` are among ``keys`` (written), and few others,
-    by a broadcast bitmap."""
+def _marked(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with ``__may``: true if ``columns`` are among ``keys`` (written),
+    and for few others, by a broadcast bitmap."""
     width = 1 << min(MOST, max(15, math.ceil(math.log2(max(1, keys.count()) * SHARE))))
     h = F.xxhash64(*columns).bitwiseAND(width - 1) + 1
     maps = keys.groupBy(F.bitmap_bucket_number(h).alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("__bits"))
     at = F.bitmap_bit_position(h).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("__bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
-    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col("__map")).where(is_set).drop("__map", "__bits")
+    marked = rows.join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col("__map"), "left")
+    return marked.withColumn("__may", F.coalesce(is_set, F.lit(False))).drop("__map", "__bits")
+
+
+def _among(rows: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows whose ``columns`` are among ``keys`` (written), and few others."""
+    return _marked(rows, keys, columns).where("__may").drop("__may")
+
+
+def _without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows whose ``column`` is not among ``keys`` (written).  Only those that
+    the bitmap takes for one of them are joined, so what stays is not dealt out."""
+    marked = _marked(rows, keys, [column])
+    told = marked.where("__may").join(keys, column, "left_anti")
+    return marked.where("NOT __may").unionByName(told).drop("__may")
 
 
 def _verified(words_of: DataFrame, sets: DataFrame, pairs: DataFrame, similar: Similar, scratch: Scratch) -> DataFrame:
@@ -235,11 +249,10 @@ def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
             leader = near.groupBy("word", F.pmod(F.xxhash64("p"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("p", "n", "bits", "pos")).alias("l")).select("word", "l.*")
             gone.append(_verified(words_of, sets, _candidates(near, leader, similar, scratch), similar, scratch))
             scratch.drop(near)
-            looking = _postings(joined.join(gone[0], "p", "left_anti"))
+            looking = _postings(_without(joined, gone[0], "p"))
         gone.append(_verified(words_of, sets, _candidates(looking, postings, similar, scratch, ROUNDS), similar, scratch))
-        left = sets.select("p", *PLACE)
-        for x in gone:
-            left = left.join(x, "p", "left_anti")
+        every = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
+        left = _without(sets.select("p", *PLACE), put(every.distinct(), "all-gone"), "p")
         return written(left.groupBy("id", "row").agg(F.sort_array(F.collect_list("line_no")).alias("kept")), "kept")
 
 

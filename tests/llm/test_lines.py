@@ -88,3 +88,13 @@ def test_sets_that_only_equal_ones_are_like(spark):
             # A set within the other is most like it; of equal sizes, one that differs in one word.
             sizes = [m for m in range(1, 200) if m != n and min(n, m) * den >= max(n, m) * num]
             assert e == (not sizes and (n - 1) * den < (n + 1) * num), (num, den, n)
+
+
+def test_what_stays_is_not_joined(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "p").withColumn("x", F.col("p") * 2)
+    keys = spark.range(0, 20_000, 10).withColumnRenamed("id", "p")
+    out = lines._without(rows, keys, "p")
+    assert sorted(r.p for r in out.collect()) == [i for i in range(20_000) if i % 10] and out.columns == ["p", "x"]
+    assert lines._without(rows, keys.limit(0), "p").count() == 20_000
+    # Of 18000 rows that stay, the join meets those alone that the bitmap can not tell.
+    assert lines._marked(rows, keys, ["p"]).where("__may").count() < 2_000 + 18_000 // 8
