@@ -183,13 +183,15 @@ class Lattice:
         logs.append(n_bytes * v.log_byte)
         # A node has at most one edge of each length, and lengths come in order:
         # places of edges follow from counts, without a sort.
-        degree = np.zeros(nodes, np.int64)
+        degree = np.zeros(nodes, np.int16)
         for x in a:
             degree[x] += 1
-        self.first = np.concatenate([[0], np.cumsum(degree)])
+        self.first = np.concatenate([[0], np.cumsum(degree, dtype=np.int64)])
         edges = int(self.first[-1])
-        source, self.target, self.piece, logs_of = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges)
-        turn, ranked = np.zeros(nodes, np.int64), np.empty(edges, np.uint16)
+        small = np.int32 if nodes < 1 << 31 else np.int64
+        source, self.target, self.piece, logs_of = np.empty(edges, small), np.empty(edges, small), np.empty(edges, np.int32), np.empty(edges)
+        # Sorts of one byte are the quickest.
+        turn, ranked = np.zeros(nodes, np.int16), np.empty(edges, np.uint8 if v.longest < 1 << 8 else np.uint16)
         for x, y, i, w in zip(a, b, ids, logs):
             r = turn[x]
             e = self.first[x] + r
@@ -198,9 +200,9 @@ class Lattice:
         logs = logs_of
         # Sums from the end: all nodes with as many characters left at once.
         beta = np.zeros(nodes)
-        of_edge = left[source]
         most = int(left.max(initial=0))
-        by_left = np.argsort(of_edge.astype(np.uint16) if most < 1 << 16 else of_edge, kind="stable")
+        of_edge = left.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64)[source]
+        by_left = np.argsort(of_edge, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(of_edge, minlength=most + 1))])[1:]
         for lo, hi in zip(bounds, bounds[1:]):
             e = by_left[lo:hi]
