@@ -6,15 +6,17 @@ own is at least the threshold.  Lines without a word stay.  So do those with
 fewer than ``min_tokens`` distinct words where a caller sets such a minimum.
 
 Plan.  (1) Texts are split into words once: a table holds each line's sorted
-64-bit hashes, and all that follows reads it.  (2) Words are counted by
+64-bit hashes by a number that rises with its place, and all that follows reads
+it.  The number is the document's, which comes from the id or, where ids repeat
+or span over 2^32, from the order of documents, and the line's.  (2) Words are counted by
 ``SLOTS`` cells of their hashes, which gives each a class of rarity, four to a
 doubling.  (3) Each line orders its words by class, then hash, and keeps the
 prefix without which no line that is similar enough can do.  (4) Equal sets
-become one, at the place of their first line; all others of them go.  Sets are
-numbered in order of place.  Those so short that only an equal set is similar
+become one, at the place of their first line; all others of them go.  Those so short that only an equal set is similar
 (at 0.85, up to 5 words) are decided by that.  (5) Sets that share a prefix
 word are candidates if sizes allow it (length filter), if enough words are left
-after the shared one (positional filter) and if bitmaps of 64 bits do.
+after the shared one (positional filter) and if bitmaps of 128 bits do; with 64,
+lines of a hundred words fill theirs, and most candidates are unlike.
 (6) Candidates are verified on all hashes.
 
 Near-equal lines by the thousand share their prefix, and all pairs among them
@@ -39,12 +41,13 @@ no rows.  Other columns are left alone.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, key, partitions, words, written
+from quillon.llm.common import NULL_ID, Scratch, key, partitions, words, written
 
 SLOTS = 1 << 19
 CHUNK = 1 << 12
@@ -53,7 +56,8 @@ LEADERS = 4
 ROUNDS = 2
 #: Bits of bitmaps that choose rows: for each key, and at most (a power of 2).
 SHARE, MOST = 16, 28
-PLACE = ["id", "row", "line_no"]
+#: A number p is the document's, then these bits for the line's.
+LINE_BITS = 31
 
 
 @dataclass(frozen=True)
@@ -77,10 +81,6 @@ class Similar:
         return F.ceil((n + m) * self.num / F.lit(float(self.num + self.den)) - 1e-9)
 
 
-def _at(suffix: str = "") -> Column:
-    return F.struct(*[F.col(c + suffix).alias(c) for c in PLACE])
-
-
 def repeated(docs: DataFrame, id_col: str = "doc_id") -> bool:
     """Whether rows share an id; then their texts tell them apart."""
     return not docs.groupBy(key(id_col)).count().where("count > 1").isEmpty()
@@ -90,18 +90,42 @@ def row_of(text: str, shared: bool) -> Column:
     return F.xxhash64(text) if shared else F.lit(0).cast("long")
 
 
-def lines_of(docs: DataFrame, shared: bool = False, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, row, line_no and line of every line of texts that are not null, with
-    a space for any white space."""
-    plain = F.when(F.col(text).rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
-    return docs.select(key(id_col).alias("id"), row_of(text, shared).alias("row"), F.posexplode(F.split(plain, "\n", -1)).alias("line_no", "line"))
+def numbered(docs: DataFrame, shared: bool, scratch: Scratch, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``doc`` and text of all rows, where ``doc`` is of 32 bits and rises with id
+    and row; and what gives rows with ``doc`` their id and row."""
+    lo, hi = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
+    if not shared and (lo is None or hi - lo < (1 << 32) - 2):
+        low = F.lit(lo or 0).cast("long")
+        doc = F.coalesce(F.col(id_col).cast("long") - low + 1, F.lit(0).cast("long"))
+        back = F.when(F.col("doc") > 0, F.col("doc") - 1 + low).otherwise(F.lit(NULL_ID))
+        return docs.select(doc.alias("doc"), F.col(text).alias("text")), lambda x: x.withColumns({"id": back, "row": F.lit(0).cast("long")})
+    rows = docs.select(key(id_col).alias("id"), row_of(text, shared).alias("row"), F.col(text).alias("text"))
+    order = rows.select("id", "row").distinct().repartitionByRange(partitions(docs.sparkSession), "id", "row").sortWithinPartitions("id", "row")
+    order = scratch.written(order.select("id", "row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i")), "order")
+    counts = {r["part"]: r["count"] for r in order.groupBy("part").count().collect()}
+    starts = [sum(counts.get(k, 0) for k in range(part)) for part in range(max(counts, default=-1) + 1)]
+    start = F.from_json(F.lit(str(starts)), "array<bigint>")
+    order = order.select("id", "row", (F.get(start, F.col("part")) + F.col("i")).alias("doc"))
+    return rows.join(order, ["id", "row"]).select("doc", "text"), lambda x: x.join(order, "doc")
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """p and line of every line of ``docs`` (doc, text) that is not null, with a
+    space for any white space."""
+    plain = F.when(F.col("text").rlike(r"[\x09\x0B-\x0D]"), F.translate("text", "\t\x0b\x0c\r", "    ")).otherwise(F.col("text"))
+    lines = docs.select("doc", F.posexplode(F.split(plain, "\n", -1)).alias("i", "line"))
+    return lines.select(F.call_function("shiftleft", "doc", F.lit(LINE_BITS)).bitwiseOR(F.col("i").cast("long")).alias("p"), "line")
 
 
 def word_sets(lines: DataFrame, min_tokens: int = 1) -> DataFrame:
-    """The lines' places and ``words``, the ascending hashes of distinct words."""
-    hashes = F.array_distinct(F.transform(F.split(F.lower("line"), " ", -1), lambda w: F.xxhash64(w)))
-    sets = F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit(""))))
-    return lines.select(*PLACE, sets.alias("words")).where(F.size("words") >= max(1, min_tokens))
+    """The lines' numbers, ``words``, the ascending hashes of distinct words, and
+    two hashes of those, k1 and k2."""
+    hashes = F.transform(F.split(F.lower("line"), " ", -1), lambda w: F.xxhash64(w))
+    # Whether a line has a word is asked of its text: a filter on the hashes would have them made twice.
+    some = lines.where(F.ltrim("line") != "")
+    sets = some.select("p", F.sort_array(F.array_except(hashes, F.array(F.xxhash64(F.lit(""))))).alias("words"))
+    sets = sets if min_tokens <= 1 else sets.where(F.size("words") >= min_tokens)
+    return sets.select("p", "words", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"))
 
 
 def rarity_table(sets: DataFrame, slots: int = SLOTS) -> bytes:
@@ -132,35 +156,57 @@ def _rank(h: Column, table: Column, slots: int) -> Column:
     return F.call_function("shiftleft", level, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
 
-def _bits(hashes: Column) -> Column:
-    """A bitmap of 64 bits of which each hash sets one."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(hashes, F.lit(0).cast("long"), lambda acc, h: acc.bitwiseOR(F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))))
+def _bits(hashes: Column) -> dict[str, Column]:
+    """A bitmap of 128 bits, in two columns, of which each hash sets one."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(63).cast("int"))
+    of = lambda half: F.aggregate(hashes, none, lambda acc, h: F.when(h.bitwiseAND(64) == half, acc.bitwiseOR(bit(h))).otherwise(acc))
+    return {"low": of(0), "high": of(64)}
 
 
 def line_sets(sets: DataFrame, table: bytes, similar: Similar) -> DataFrame:
-    """The first place of each distinct set, with n, bits and prefix."""
+    """p, n, low, high (a bitmap) and prefix of ``sets``, and its other columns."""
     classes = F.from_json(F.lit(str(list(table)).replace(" ", "")), "array<tinyint>")
     ranks = F.sort_array(F.transform("words", lambda h: _rank(h, classes, len(table))))
     n = F.size("words")
-    rows = sets.select(*PLACE, F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), n.alias("n"), _bits(F.col("words")).alias("bits"), F.slice(ranks, 1, similar.prefix(n)).alias("prefix"))
-    first = rows.groupBy("k1", "k2").agg(F.min_by(F.struct("n", "bits", "prefix"), _at()).alias("s"), F.min(_at()).alias("at"))
-    return first.select("at.*", "s.*")
+    return sets.withColumns({"n": n, **_bits(F.col("words")), "prefix": F.slice(ranks, 1, similar.prefix(n))}).drop("words", "k1", "k2")
+
+
+def _repeats(words_of: DataFrame, scratch: Scratch) -> DataFrame:
+    """The lines p whose set an earlier line has."""
+    of_one = words_of.groupBy("k1", "k2").agg(F.min("p").alias("first"), F.count(F.lit(1)).alias("copies"))
+    groups = scratch.written(of_one.where("copies > 1").select("k1", "k2", "first"), "groups")
+    rows = _among(words_of.select("p", "k1", "k2"), groups, ["k1", "k2"])
+    return scratch.written(rows.join(groups, ["k1", "k2"]).where("p > first").select("p"), "repeats")
 
 
-def _numbered(sets: DataFrame) -> DataFrame:
-    """``sets`` with ``p``, a number that rises with their place."""
-    order = sets.repartitionByRange(partitions(sets.sparkSession), *PLACE).sortWithinPartitions(*PLACE)
-    return order.withColumn("p", F.monotonically_increasing_id())
+def _first_sets(words_of: DataFrame, table: bytes, similar: Similar, scratch: Scratch) -> DataFrame:
+    """The sets of lines that repeat none.  They are made in one pass, and only
+    those that a bitmap takes for repeats are joined."""
+    again = _repeats(words_of, scratch)
+    every = scratch.written(line_sets(_marked(words_of.select("p", "words"), again, ["p"]), table, similar), "sets")
+    told = scratch.written(every.where("__may").join(again, "p", "left_anti"), "told")
+    return every.where("NOT __may").unionByName(told).drop("__may")
 
 
 def _postings(sets: DataFrame) -> DataFrame:
-    return sets.select("p", "n", "bits", F.posexplode("prefix").alias("pos", "word"))
+    return sets.select(*[c for c in sets.columns if c != "prefix"], F.posexplode("prefix").alias("pos", "word"))
+
+
+def _looking(sets: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sets`` with ``look``: false for those among ``gone`` (written), or most of them."""
+    marked = _marked(sets, gone, ["p"]).withColumnRenamed("__may", "__gone")
+    wrong = scratch.written(marked.where("__gone").select("p").join(gone, "p", "left_anti"), "wrong")
+    return _marked(marked, wrong, ["p"]).withColumn("look", ~F.col("__gone") | F.col("__may")).drop("__gone", "__may")
 
 
 def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar, scratch: Scratch, rounds: int = 1) -> DataFrame:
-    """Pairs (a, b), b the earlier, that the filters let through."""
-    a, b = (x.select(*[F.col(c).alias(f"{c}_{k}") for c in ("p", "n", "bits", "pos", "word")]) for x, k in ((later, "a"), (earlier, "b")))
+    """Pairs (a, b), b the earlier, that the filters let through.
+
+    ``look`` tells of either which sets look for a match.  Where ``later`` is
+    ``earlier``, its rows are dealt out once: what holds of one side is asked
+    in terms of both, or it would be a filter that sets the sides apart."""
+    a, b = (x.select(*[F.col(c).alias(f"{c}_{k}") for c in x.columns]) for x, k in ((later, "a"), (earlier, "b")))
     most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     least = similar.overlap(F.col("n_a"), F.col("n_b"))
     fits = (
@@ -171,8 +217,10 @@ def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar, scratch:
         # True of similar sets at the first word that they share.
         & (most >= least)
         # Each bit that differs is a word in one set alone.
-        & (F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
+        & (F.bit_count(F.col("low_a").bitwiseXOR(F.col("low_b"))) + F.bit_count(F.col("high_a").bitwiseXOR(F.col("high_b"))) <= F.col("n_a") + F.col("n_b") - 2 * least)
     )
+    if "look" in later.columns:
+        fits &= F.col("look_a") | (F.col("look_b") & (F.col("p_b") >= F.col("p_a")))
     out = None
     for i in range(rounds):
         part = F.pmod(F.col("word_a"), F.lit(rounds)) == i, F.pmod(F.col("word_b"), F.lit(rounds)) == i
@@ -211,12 +259,10 @@ def _without(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
     return marked.where("NOT __may").unionByName(told).drop("__may")
 
 
-def _verified(words_of: DataFrame, sets: DataFrame, pairs: DataFrame, similar: Similar, scratch: Scratch) -> DataFrame:
+def _verified(words_of: DataFrame, pairs: DataFrame, similar: Similar, scratch: Scratch) -> DataFrame:
     """The sets a of pairs (a, b) that are similar, by all hashes of their words."""
     numbers = scratch.written(pairs.select(F.explode(F.array("a", "b")).alias("p")).distinct(), "numbers")
-    places = scratch.written(_among(sets.select("p", _at().alias("at")), numbers, ["p"]), "places")
-    asked = _among(words_of, places.select("at.*"), PLACE).select(_at().alias("at"), "words")
-    asked = scratch.written(asked.join(places, "at").select("p", "words"), "asked", "zstd")
+    asked = scratch.written(_among(words_of.select("p", "words"), numbers, ["p"]), "asked", "zstd")
     a, b = (asked.select(F.col("p").alias(x), F.col("words").alias(f"w_{x}")) for x in "ab")
     both = F.size(F.array_intersect("w_a", "w_b"))
     union = F.size("w_a") + F.size("w_b") - both
@@ -226,7 +272,7 @@ def _verified(words_of: DataFrame, sets: DataFrame, pairs: DataFrame, similar: S
         one = part.join(a, "a").join(b, "b").where(both * similar.den >= union * similar.num)
         one = scratch.written(one.select(F.col("a").alias("p")).distinct(), "found")
         found = one if found is None else found.unionByName(one)
-    scratch.drop(numbers, places, asked)
+    scratch.drop(numbers, asked)
     return found
 
 
@@ -236,24 +282,27 @@ def kept_places(docs: DataFrame, similar: Similar = Similar(), id_col: str = "do
     shared = repeated(docs, id_col) if shared is None else shared
     with Scratch(docs.sparkSession, "lines") as scratch:
         put = scratch.written
-        words_of = put(word_sets(lines_of(docs, shared, id_col, text), similar.min_tokens), "words", "zstd")
-        sets = put(_numbered(line_sets(words_of, rarity_table(words_of), similar)), "sets")
+        of, named = numbered(docs, shared, scratch, id_col, text)
+        words_of = put(word_sets(lines_of(of), similar.min_tokens), "words", "zstd")
+        sets = _first_sets(words_of, rarity_table(words_of), similar, scratch)
         joined = sets.where(~similar.by_equality(F.col("n")))
-        postings = looking = _postings(joined)
+        postings = _postings(joined)
         # A word's cell counts all lines that have it, so it is in no lower class.
         frequent = F.shiftrightunsigned("word", 56) >= _class(LARGE)
         hot = put(postings.where(frequent).groupBy("word").count().where(F.col("count") > LARGE).select("word"), "hot-words")
         gone = []
         if not hot.isEmpty():
             near = put(_among(postings.where(frequent), hot, ["word"]), "hot-postings")
-            leader = near.groupBy("word", F.pmod(F.xxhash64("p"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct("p", "n", "bits", "pos")).alias("l")).select("word", "l.*")
-            gone.append(_verified(words_of, sets, _candidates(near, leader, similar, scratch), similar, scratch))
+            leader = near.groupBy("word", F.pmod(F.xxhash64("p"), F.lit(LEADERS)).alias("c")).agg(F.min(F.struct(*[c for c in near.columns if c != "word"])).alias("l")).select("word", "l.*")
+            gone.append(put(_verified(words_of, _candidates(near, leader, similar, scratch), similar, scratch).distinct(), "near-leaders"))
             scratch.drop(near)
-            looking = _postings(_without(joined, gone[0], "p"))
-        gone.append(_verified(words_of, sets, _candidates(looking, postings, similar, scratch, ROUNDS), similar, scratch))
+            postings = _postings(_looking(joined, gone[0], scratch))
+        gone.append(_verified(words_of, _candidates(postings, postings, similar, scratch, ROUNDS), similar, scratch))
         every = gone[0] if len(gone) == 1 else gone[0].unionByName(gone[1])
-        left = _without(sets.select("p", *PLACE), put(every.distinct(), "all-gone"), "p")
-        return written(left.groupBy("id", "row").agg(F.sort_array(F.collect_list("line_no")).alias("kept")), "kept")
+        left = _without(sets.select("p"), put(every.distinct(), "all-gone"), "p")
+        line = F.col("p").bitwiseAND((1 << LINE_BITS) - 1).cast("int")
+        kept = left.groupBy(F.shiftrightunsigned("p", LINE_BITS).alias("doc")).agg(F.sort_array(F.collect_list(line)).alias("kept"))
+        return written(named(kept).select("id", "row", "kept"), "kept")
 
 
 def dedup_lines(docs: DataFrame, similar: Similar = Similar(), id_col: str = "doc_id", text: str = "text") -> DataFrame:

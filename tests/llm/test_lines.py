@@ -98,3 +98,53 @@ def test_what_stays_is_not_joined(spark):
     assert lines._without(rows, keys.limit(0), "p").count() == 20_000
     # Of 18000 rows that stay, the join meets those alone that the bitmap can not tell.
     assert lines._marked(rows, keys, ["p"]).where("__may").count() < 2_000 + 18_000 // 8
+
+
+def test_unlike_long_lines_are_no_candidates(spark):
+    from quillon.llm.common import Scratch
+
+    # All share their rarest word, and are long enough to fill a bitmap of 64 bits.
+    rng = random.Random(3)
+    rows = [(i, "rarest " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(150))) for i in range(40)]
+    rows += [(100 + i, t.rpartition(" ")[0] + " other") for i, t in rows[:5]]
+    df = spark.createDataFrame(rows, "doc long, text string")
+    with Scratch(spark, "test") as scratch:
+        words_of = scratch.written(lines.word_sets(lines.lines_of(df)), "words")
+        sets = lines._first_sets(words_of, bytes(lines.SLOTS), lines.Similar(1, 2), scratch)
+        postings = lines._postings(sets)
+        pairs = lines._candidates(postings, postings, lines.Similar(), scratch).collect()
+    assert sorted((r.a >> lines.LINE_BITS, r.b >> lines.LINE_BITS) for r in pairs) == [(100 + i, i) for i in range(5)]
+
+
+def test_postings_are_dealt_out_once(spark):
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in plain}
+    class Planned:
+        def written(self, df, *_):
+            out = df.localCheckpoint()
+            self.plan = df._jdf.queryExecution().executedPlan().toString()
+            return out
+
+    sets = spark.createDataFrame([(1, 9, 3, 0, [5, 6]), (2, 9, 3, 0, [5, 7])], "p long, n int, low long, high long, prefix array<long>")
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        for x in (sets, sets.withColumn("look", F.col("p") > 0)):
+            planned = Planned()
+            postings = lines._postings(x)
+            assert [tuple(r) for r in lines._candidates(postings, postings, lines.Similar(), planned, 1).collect()] == [(2, 1)]
+            assert "ReusedExchange" in planned.plan
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_ids_far_apart_and_repeated(spark):
+    rng = random.Random(4)
+    source = near(rng, [f"u{i}" for i in range(60)], 25)
+    rows = [(rng.choice([-1, 1]) * rng.randrange(2**62) if i else 2**63 - 1, next(source) + "\n" + next(source)) for i in range(40)] + [(None, next(source)), (-(2**63) + 1, next(source))]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows, lines.Similar())
+    near_ids = [(i + 2**62, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(near_ids, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(near_ids, lines.Similar())
