@@ -194,10 +194,12 @@ def _postings(sets: DataFrame) -> DataFrame:
 
 
 def _looking(sets: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """``sets`` with ``look``: false for those among ``gone`` (written), or most of them."""
-    marked = _marked(sets, gone, ["p"]).withColumnRenamed("__may", "__gone")
-    wrong = scratch.written(marked.where("__gone").select("p").join(gone, "p", "left_anti"), "wrong")
-    return _marked(marked, wrong, ["p"]).withColumn("look", ~F.col("__gone") | F.col("__may")).drop("__gone", "__may")
+    """``sets`` with ``look``: false for those among ``gone`` (written).  This is
+    exact: of a large group, each that looks in vain meets all earlier ones."""
+    marked = _marked(sets, gone, ["p"])
+    known = marked.where("__may").join(gone.withColumn("__gone", F.lit(True)), "p", "left")
+    known = scratch.written(known.select(*sets.columns, F.col("__gone").isNull().alias("look")), "known")
+    return marked.where("NOT __may").select(*sets.columns, F.lit(True).alias("look")).unionByName(known)
 
 
 def _candidates(later: DataFrame, earlier: DataFrame, similar: Similar, scratch: Scratch, rounds: int = 1) -> DataFrame:

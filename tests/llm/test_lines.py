@@ -148,3 +148,14 @@ def test_ids_far_apart_and_repeated(spark):
     near_ids = [(i + 2**62, t) for i, (_, t) in enumerate(rows)]
     got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(near_ids, "doc_id long, text string").repartition(3)).collect()}
     assert got == brute(near_ids, lines.Similar())
+
+
+def test_what_has_a_match_looks_no_more(spark):
+    from quillon.llm.common import Scratch
+
+    sets = spark.range(60_000).select(F.col("id").alias("p"), F.array(F.col("id")).alias("prefix"))
+    gone = spark.range(0, 60_000, 2).withColumnRenamed("id", "p")
+    with Scratch(spark, "test") as scratch:
+        got = lines._looking(sets, gone, scratch)
+        assert got.columns == ["p", "prefix", "look"] and got.count() == 60_000
+        assert got.where(F.col("look") != (F.col("p") % 2 == 1)).isEmpty()
