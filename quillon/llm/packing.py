@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from quillon.llm import tokens
 CAPACITY = 2048
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
+_SIZE = itemgetter(0)
+
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Items in k windows by differencing: lists of indexes into ``sizes``.
@@ -55,12 +58,12 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
         rest_a, rest_b = low_a or [], low_b or []
         if la + lb + len(rest_a) + len(rest_b) < k:
             # All fit beside each other, with an empty window left.
-            merged, low = sorted(a + b, key=lambda w: -w[0]), rest_a + rest_b
+            merged, low = sorted(a + b, key=_SIZE, reverse=True), rest_a + rest_b
         else:
             full_a = a + [(0, t) for t in rest_a] + [(0, None)] * (k - la - len(rest_a))
             full_b = b + [(0, t) for t in rest_b] + [(0, None)] * (k - lb - len(rest_b))
             both = [(x + y, t if u is None else u if t is None else (t, u)) for (x, t), (y, u) in zip(full_a, reversed(full_b))]
-            both.sort(key=lambda w: -w[0])
+            both.sort(key=_SIZE, reverse=True)
             least = both[-1][0]
             merged = [(s - least, t) for s, t in both if s > least]
             low = [t for s, t in both if s == least and t is not None]
@@ -97,9 +100,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, end_id: int, most: int
     tokenizer, end = tokens.tokenizer(path), np.array([end_id], "<u4").tobytes()
     block, held = [], 0
     for batch in batches:
-        for doc, text in zip(batch.column(0), batch.column(1)):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             ids = tokenizer.ids(text.as_py()) + end
-            block.append((doc.as_py(), ids))
+            block.append((doc, ids))
             held += len(ids) // 4
             if held >= most:
                 yield block

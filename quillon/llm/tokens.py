@@ -24,6 +24,9 @@ def default_path() -> str:
 PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=?-@\\[-`{}~]*)")
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 class _Known(dict):
     """Ids of words; one that is missing is worked out, and kept if short."""
 
@@ -87,7 +90,7 @@ class WordTokenizer:
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _LOADED: dict[str, WordTokenizer] = {}
