@@ -37,6 +37,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Of a driver's heap, the share beyond which its garbage is collected between
+#: two steps.
+FULL = 0.4
+#: Plans hold tables as literals; as text, each of their many copies is cut here.
+PLAN, PLAN_CHARS = "spark.sql.maxPlanStringLength", "20000"
+
+
+def give_back(spark: SparkSession) -> bool:
+    """Collects a driver's garbage if much of its heap is taken: a step leaves
+    plans and broadcasts by the hundred MB, little of it alive, and the heap
+    would grow to its bound on top of what else the process holds.  Where tasks
+    run in the same process, the heap is theirs and is left alone."""
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return False
+    runtime = spark._jvm.java.lang.Runtime.getRuntime()
+    if runtime.totalMemory() <= FULL * runtime.maxMemory():
+        return False
+    runtime.gc()
+    return True
+
+
 #: Shuffle files of a query go when it ends, not when the driver happens to
 #: collect its garbage.
 CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -44,12 +65,15 @@ CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 @contextmanager
 def clean_shuffles(spark: SparkSession) -> Iterator[None]:
-    was = spark.conf.get(CLEAN)
-    spark.conf.set(CLEAN, "true")
+    held = {CLEAN: "true", PLAN: PLAN_CHARS}
+    was = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(CLEAN, was)
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str, folder: str | None = None, codec: str = "snappy") -> DataFrame:
@@ -63,6 +87,7 @@ def written(df: DataFrame, name: str, folder: str | None = None, codec: str = "s
     path = f"{folder or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     with clean_shuffles(spark):
         df.write.option("compression", codec).parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
