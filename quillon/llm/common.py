@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,18 +44,59 @@ FULL = 0.4
 PLAN, PLAN_CHARS = "spark.sql.maxPlanStringLength", "20000"
 
 
+#: Percent of a heap that may stay free when such a collection ends; a JVM's
+#: default lets it keep 70.
+FREE = "MaxHeapFreeRatio", "45"
+
+
+def _managed(spark: SparkSession, bean: str, operation: str, *texts: str) -> object:
+    """What an operation of one of the driver's JVM's own beans gives; a JVM
+    without it does without, and gives none."""
+    with suppress(Exception):
+        jvm, gateway = spark._jvm, spark.sparkContext._gateway
+
+        def array(kind: object, *values: object) -> object:
+            out = gateway.new_array(kind, len(values))
+            for i, v in enumerate(values):
+                out[i] = v
+            return out
+
+        # The server's class is not open to callers; its interface is.
+        named, text = jvm.java.lang.Class.forName, "java.lang.String"
+        types = array(jvm.java.lang.Class, *[named(t) for t in ("javax.management.ObjectName", text, "[Ljava.lang.Object;", "[Ljava.lang.String;")])
+        invoke = named("javax.management.MBeanServer").getMethod("invoke", types)
+        name = jvm.javax.management.ObjectName(f"com.sun.management:type={bean}")
+        given = array(jvm.java.lang.Object, *texts), array(jvm.java.lang.String, *[text] * len(texts))
+        return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.java.lang.Object, name, operation, *given))
+
+
+def _shrunk(spark: SparkSession, collect: Callable[[], None]) -> None:
+    """Collects garbage with FREE in force, and sets back what was."""
+    was = _managed(spark, "HotSpotDiagnostic", "getVMOption", FREE[0])
+    if was is not None:
+        _managed(spark, "HotSpotDiagnostic", "setVMOption", *FREE)
+    try:
+        collect()
+    finally:
+        if was is not None:
+            _managed(spark, "HotSpotDiagnostic", "setVMOption", FREE[0], was.get("value"))
+
+
 def give_back(spark: SparkSession) -> bool:
     """Collects a driver's garbage if much of its heap is taken: a step leaves
     plans and broadcasts by the hundred MB, little of it alive, and the heap
-    would grow to its bound on top of what else the process holds.  Where tasks
-    run in the same process, the heap is theirs and is left alone."""
+    would grow to its bound on top of what else the process holds.  Of that,
+    what compilers and threads have freed is held by the C library, by the
+    hundred MB too, until it is asked for.  Where tasks run in the same process,
+    the heap is theirs and is left alone."""
     if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         return False
     runtime = spark._jvm.java.lang.Runtime.getRuntime()
-    if runtime.totalMemory() <= FULL * runtime.maxMemory():
-        return False
-    runtime.gc()
-    return True
+    full = runtime.totalMemory() > FULL * runtime.maxMemory()
+    if full:
+        _shrunk(spark, runtime.gc)
+    _managed(spark, "DiagnosticCommand", "systemTrimNativeHeap")
+    return full
 
 
 #: Shuffle files of a query go when it ends, not when the driver happens to
