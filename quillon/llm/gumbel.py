@@ -37,9 +37,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Noise of doubles spans under 41 nats, so a region of a mass this far below
 #: another's never has the greater key.
 WINDOW = 45.0
+#: Edges of a path that are looked at first: mostly what follows is below that.
+FIRST = 128
 _STEP = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -90,36 +93,39 @@ class Vocabulary:
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether hashes are of beginnings of pieces, and of which pieces."""
-        found, piece = np.zeros(len(h), bool), np.full(len(h), -1, np.int64)
-        rest = np.arange(len(h))
-        for times, keys, ids in self.tables:
-            at = (h[rest] * times) >> np.uint64(64 - _BITS)
-            hit = keys[at] == h[rest]
-            found[rest[hit]] = True
-            piece[rest[hit]] = ids[at[hit]]
-            rest = rest[~hit]
+        found, piece, rest = np.zeros(len(h), bool), np.full(len(h), -1, np.int32), None
+        for times, shift, keys, ids in self.tables:
+            left = h if rest is None else h[rest]
+            at = (left * times) >> shift
+            hit = keys[at] == left
+            to = np.flatnonzero(hit) if rest is None else rest[hit]
+            found[to] = True
+            piece[to] = ids[at[hit]]
+            rest = np.flatnonzero(~hit) if rest is None else rest[~hit]
         return found, piece
 
 
-#: Bits of the index into tables of beginnings.
-_BITS = 20
+#: Bits of the index into the first table of beginnings, and into later ones,
+#: which hold few and stay in a core's cache.
+_BITS, _LATER_BITS = 20, 15
 
 
-def _tables(entries: dict[int, int]) -> list[tuple[np.uint64, np.ndarray, np.ndarray]]:
+def _tables(entries: dict[int, int]) -> list[tuple[np.uint64, np.uint64, np.ndarray, np.ndarray]]:
     """Tables of one entry for each slot; what a slot has no room for goes on to
     the next table."""
     out, left, turn = [], entries, 0
     while left:
         turn += 1
+        bits = _BITS if turn == 1 else _LATER_BITS
         times = (0x9E3779B97F4A7C15 * (2 * turn + 1)) & ((1 << 64) - 1)
-        keys, ids, next_ = np.zeros(1 << _BITS, np.uint64), np.full(1 << _BITS, -1, np.int64), {}
+        keys, ids, next_ = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32), {}
         for h, i in left.items():
-            at = ((h * times) & ((1 << 64) - 1)) >> (64 - _BITS)
+            at = ((h * times) & ((1 << 64) - 1)) >> (64 - bits)
             if keys[at]:
                 next_[h] = i
             else:
                 keys[at], ids[at] = h, i
-        out.append((np.uint64(times), keys, ids))
+        out.append((np.uint64(times), np.uint64(64 - bits), keys, ids))
         left = next_
     return out
 
@@ -144,7 +150,8 @@ class Lattice:
 
     Node j of chunk c is ``start[c] + j``; edges of a node are ``first[node]``
     to ``first[node + 1]``, with target, piece (negative: code point as bytes),
-    and the cumulative probability among the node's edges."""
+    and the cumulative probability among the node's edges.  ``ends`` tells of
+    nodes whether they are a chunk's last."""
 
     def __init__(self, chunks: list[str], v: Vocabulary) -> None:
         size = np.array([len(c) for c in chunks], np.int64)
@@ -156,6 +163,7 @@ class Lattice:
         left = np.repeat(self.end, size + 1) - np.arange(nodes)
         a, b, ids, logs = [], [], [], []
         covered = np.zeros(nodes, bool)
+        self.ends = left == 0
         at = np.flatnonzero(left > 0)
         state = np.zeros(len(at), np.uint64)
         for length in range(1, v.longest + 1):
@@ -235,20 +243,25 @@ class Lattice:
     def walk(self, node: np.ndarray, end: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges drawn from ``node`` to ``end``, one walk after the other, and
         how many each has.  ``key``: 64-bit keys of noise."""
-        n = len(node)
-        node, steps = node.copy(), np.zeros(n, np.int64)
+        steps = np.zeros(len(node), np.int64)
+        # What is of the walks that go on; all of them have gone as far.
         alive, taken = np.flatnonzero(node < end), []
+        at, stop, key = node[alive], end[alive], key[alive]
         while len(alive):
-            u = _uniform(key[alive] + steps[alive].astype(np.uint64) * _STEP[0])
-            edge = self.first[node[alive]]
-            wait = np.arange(len(alive))
+            u = _uniform(key + np.array([len(taken)], np.uint64) * _STEP[0])
+            edge = self.first[at]
+            wait = np.flatnonzero(u >= self.upto[edge])
+            u, after = u[wait], edge[wait]
             while len(wait):
-                wait = wait[u[wait] >= self.upto[edge[wait]]]
-                edge[wait] += 1
+                after += 1
+                edge[wait] = after
+                on = u >= self.upto[after]
+                wait, u, after = wait[on], u[on], after[on]
             taken.append((alive, edge))
-            node[alive] = self.target[edge]
-            steps[alive] += 1
-            alive = alive[node[alive] < end[alive]]
+            steps[alive] = len(taken)
+            at = self.target[edge]
+            on = at < stop
+            alive, at, stop, key = alive[on], at[on], stop[on], key[on]
         offset = np.cumsum(steps) - steps
         out = np.zeros(int(steps.sum()), np.int64)
         for i, (who, edge) in enumerate(taken):
@@ -262,11 +275,15 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 def _chunks(text: str) -> list[str]:
+    """The chunks of a text, each without the space that it begins with."""
     if not text:
         return []
     if "  " not in text and SPACE not in text and text[-1] != " ":
-        return [SPACE + w for w in text.split(" ")] if text[0] != " " else [SPACE * 2 + w if i == 0 else SPACE + w for i, w in enumerate(text[1:].split(" "))]
-    return _CHUNK.findall(SPACE + text.replace(" ", SPACE))
+        if text[0] != " ":
+            return text.split(" ")
+        first, *others = text[1:].split(" ")
+        return [SPACE + first, *others]
+    return [c[1:] for c in _CHUNK.findall(SPACE + text.replace(" ", SPACE))]
 
 
 class _Search:
@@ -279,7 +296,7 @@ class _Search:
 
     def noise(self, n: int) -> np.ndarray:
         """Exponential noise for n regions."""
-        at = np.arange(self.count, self.count + n).astype(np.uint64)
+        at = np.arange(self.count, self.count + n, dtype=np.uint64)
         self.count += n
         return -np.log(_uniform((self.key ^ _STEP[1]) + at * _STEP[2]))
 
@@ -295,35 +312,35 @@ class _Search:
             node = int(np.searchsorted(lattice.first, edges[start], side="right")) - 1
             left = sum(lattice.p[i] for i in range(lattice.first[node], lattice.first[node + 1]) if i not in out and i != edges[start])
             rest = float(np.log(left)) if left else -np.inf
-        for n in (256, len(edges)):
+        for n in (FIRST, 256, len(edges)):
             part = logs[start : start + n]
-            before = at + np.cumsum(part) - part
+            before = at + part.cumsum() - part
             mass = before + lattice.log_rest[edges[start : start + n]]
             if rest is not None and len(mass):
                 mass[0] = before[0] + rest
             best = mass.max(initial=-np.inf)
-            good = np.flatnonzero(mass > best - WINDOW)
+            good = (mass > best - WINDOW).nonzero()[0]
             if len(part) < n or (len(good) >= k and best - before[-1] > WINDOW):
                 break
         if len(good) < k:  # all are wanted, however small
             good = np.flatnonzero(mass > -np.inf)
         if not len(good):
             return
-        # Gumbel of that mass, at most the sample's key.
-        keys = -np.logaddexp(-key, np.log(self.noise(len(good))) - mass[good])
-        for i in np.argsort(-keys)[:k]:
-            t = int(good[i])
+        # Gumbels of that mass, of which the k largest, then at most the sample's key.
+        low = np.log(self.noise(len(good))) - mass[good]
+        top = low.argpartition(k - 1)[:k] if len(low) > k else np.arange(len(low))
+        for t, bound in zip(good[top].tolist(), np.logaddexp(-key, low[top]).tolist()):
             shut = (*(out if t == 0 else ()), int(edges[start + t]))
-            heapq.heappush(self.queue, (-float(keys[i]), len(self.samples) - 1, start + t, shut))
+            heapq.heappush(self.queue, (bound, len(self.samples) - 1, start + t, shut))
 
 
 def sample_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> list[list[tuple[float, float, float, np.ndarray]]]:
     """For each text up to k samples (log_p, key, inclusion, ids)."""
     split = [_chunks(t) for t in texts]
     counts = np.array([len(cs) for cs in split], np.int64)
-    number = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+    number: defaultdict[str, int] = defaultdict(count().__next__)
     flat = np.fromiter(map(number.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-    lattice = Lattice(list(number), v)
+    lattice = Lattice([SPACE + c for c in number], v)
     begin = np.cumsum(counts) - counts
     text_of = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(len(flat)) - begin[text_of]
@@ -345,8 +362,8 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
                 node = int(np.searchsorted(lattice.first, old[t], side="right")) - 1
                 chosen = _other(lattice, node, shut, s)
                 # Chunks that the path has closed before, by the nodes it has come to.
-                closed = np.cumsum(lattice.target[old[:t]] == lattice.end[np.searchsorted(lattice.start, lattice.target[old[:t]], side="right") - 1]) if t else np.zeros(0)
-                jobs.append((i, s, -g, old[:t], t, shut, chosen, int(closed[-1]) if t else 0))
+                closed = int(np.count_nonzero(lattice.ends[lattice.target[old[:t]]]))
+                jobs.append((i, s, -g, old[:t], t, shut, chosen, closed))
         if not jobs:
             break
         # The chunk of the new edge goes on from its target, later ones anew.
@@ -372,7 +389,8 @@ def sample_batch(texts: list[str], keys: np.ndarray, k: int, v: Vocabulary) -> l
 
 def _other(lattice: Lattice, node: int, shut: tuple[int, ...], s: _Search) -> int:
     """An edge of a node that is not shut, by probability."""
-    own = [(i, float(lattice.p[i])) for i in range(lattice.first[node], lattice.first[node + 1]) if i not in shut]
+    low, high = lattice.first[node : node + 2].tolist()
+    own = [(i, p) for i, p in enumerate(lattice.p[low:high].tolist(), low) if i not in shut]
     s.count += 1
     u = float(_uniform(np.array([s.key]) + np.array([s.count], np.uint64) * _STEP[0])[0]) * sum(p for _, p in own)
     for i, p in own:

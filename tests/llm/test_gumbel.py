@@ -76,6 +76,39 @@ def test_draws_follow_probabilities():
     assert abs(total - 1) < 0.1
 
 
+def test_the_first_look_at_a_path_changes_no_sample(monkeypatch):
+    texts = ["word " * 300, "x" * 700, "Some words here, " * 40 + "qqqqqqqq" * 60, "a b", "", " lead", "two  spaces and an end "]
+    found = []
+    for first in (gumbel.FIRST, 4, 1 << 30):
+        monkeypatch.setattr(gumbel, "FIRST", first)
+        found.append([[(*s[:3], s[3].tolist()) for s in samples] for samples in gumbel.sample_batch(texts, gumbel.row_keys(list(range(len(texts))), 3), 6, V)])
+    assert found[0] == found[1] == found[2]
+
+
+def test_walks_take_the_edges_that_their_noise_asks_for():
+    chunks = [gumbel.SPACE + w for w in ("the", "transformation", "é𝕏", "qqqq")]
+    lattice = gumbel.Lattice(chunks, V)
+    keys = np.arange(1, 5, dtype=np.uint64)
+    edges, steps = lattice.walk(lattice.start, lattice.end, keys)
+    want = []
+    for c, k in enumerate(keys):
+        node, t = int(lattice.start[c]), 0
+        while node < lattice.end[c]:
+            u = gumbel._uniform(np.array([k]) + np.array([t], np.uint64) * gumbel._STEP[0])[0]
+            e = int(lattice.first[node])
+            while u >= lattice.upto[e]:
+                e += 1
+            want.append(e)
+            node, t = int(lattice.target[e]), t + 1
+        assert steps[c] == t
+        assert lattice.ends[node]
+    assert edges.tolist() == want
+
+
+def test_later_tables_of_beginnings_stay_in_cache():
+    assert all(keys.nbytes + ids.nbytes <= 1 << 19 for *_, keys, ids in V.tables[1:])
+
+
 def test_documents(spark):
     rows = [(1, "Some words here, and more."), (2, None), (3, ""), (None, "null key"), (4, "long " * 3000 + "é\U0001d54f\n\ttail"), (1, "Some words here, and more."), (5, "q" * 3000), (6, "a▁b")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sample", F.lit("clash")).repartition(3)
